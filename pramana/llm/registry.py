@@ -11,6 +11,7 @@ from pramana.llm import sql
 from pramana.llm.consensus import MinimaxConsensus, annotator_key, krippendorff_alpha, latest_votes
 from pramana.llm.encoding import decode, encode
 from pramana.llm.mixing import SourceMixer
+from pramana.llm.overlap import SplitOverlap, overlap_report
 from pramana.llm.rank_fusion import normal_score_ranking
 from pramana.session import table
 
@@ -52,6 +53,23 @@ def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
     return krippendorff_alpha(p1_votes(spark, d))
 
 
+# 4. Same or near-same records across splits
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return unique_items(spark, d, "question", "split", "source").select("id", F.col("question").alias("text"), "split", "source")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = SplitOverlap().pairs(_questions(spark, d))
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    questions = _questions(spark, d)
+    return overlap_report(questions, SplitOverlap().pairs(questions))
+
+
 # 6. One ranking from several differently-scaled scores
 
 
