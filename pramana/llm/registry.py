@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pramana.llm import sql
 from pramana.llm.consensus import MinimaxConsensus, annotator_key, krippendorff_alpha, latest_votes
 from pramana.llm.encoding import decode, encode
+from pramana.llm.language import LanguageFilters, detect_segments, fit_filters, language_name
 from pramana.llm.mixing import SourceMixer
 from pramana.llm.overlap import SplitOverlap, overlap_report
 from pramana.llm.rank_fusion import normal_score_ranking
@@ -53,6 +54,28 @@ def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
     return krippendorff_alpha(p1_votes(spark, d))
 
 
+# 2. Missing or wrong document language labels
+
+
+def language_filters(spark: SparkSession, d: str) -> LanguageFilters:
+    """Filters from the clean languages of passages, those of documents, and the partly wrong ones of questions."""
+    clean = table(spark, d, "passages").select("text", "lang")
+    mostly = table(spark, d, "documents").select("text", language_name(F.col("lang")).alias("lang"))
+    asked = table(spark, d, "qa_items").select(F.col("question").alias("text"), language_name(F.col("query_lang")).alias("lang"))
+    return fit_filters(clean.unionByName(mostly).unionByName(asked))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    items = unique_items(spark, d, "question", "query_lang").withColumnRenamed("question", "text")
+    return detect_segments(items, language_filters(spark, d)).join(items.select("id", "query_lang"), "id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    named = language_name(F.col("query_lang"))
+    wrong = (F.col("seg_no") > 0) | named.isNull() | (named != F.col("lang"))
+    return p2_segments(spark, d).where(F.col("lang").isin("en", "hi", "hinglish", "mr", "bn") & wrong).select("id", "seg_no", "lang")
+
+
 # 4. Same or near-same records across splits
 
 
