@@ -14,6 +14,7 @@ from pramana.llm.language import LanguageFilters, detect_segments, fit_filters,
 from pramana.llm.mixing import SourceMixer
 from pramana.llm.overlap import SplitOverlap, overlap_report
 from pramana.llm.rank_fusion import normal_score_ranking
+from pramana.llm.sentences import HiddenEventModel, sentence_units, train
 from pramana.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +94,23 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(questions, SplitOverlap().pairs(questions))
 
 
+# 5. Sentence boundaries across languages and scripts
+
+
+def unique_passages(spark: SparkSession, d: str) -> DataFrame:
+    """passages, a repeated one once."""
+    t = table(spark, d, "passages").where("passage_id is not null")
+    return t.groupBy("passage_id").agg(F.max(F.struct("doc_id", "lang", "text")).alias("v")).select("passage_id", "v.*")
+
+
+def sentence_model(spark: SparkSession, d: str) -> HiddenEventModel:
+    return train(table(spark, d, "passages"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_units(unique_passages(spark, d), sentence_model(spark, d))
+
+
 # 6. One ranking from several differently-scaled scores
 
 
