@@ -13,6 +13,7 @@ from pramana.llm.encoding import decode, encode
 from pramana.llm.language import LanguageFilters, detect_segments, fit_filters, language_name
 from pramana.llm.mixing import SourceMixer
 from pramana.llm.overlap import SplitOverlap, overlap_report
+from pramana.llm.pairs import PairChecker
 from pramana.llm.rank_fusion import normal_score_ranking
 from pramana.llm.sentences import HiddenEventModel, sentence_units, train
 from pramana.session import table
@@ -77,6 +78,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_segments(spark, d).where(F.col("lang").isin("en", "hi", "hinglish", "mr", "bn") & wrong).select("id", "seg_no", "lang")
 
 
+# 3. Broken prompt and response pairs
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The answers to check: all answer_gold and the recorded answer_gold_hi of answerable items."""
+    items = unique_items(spark, d, "question", "answer_gold", "answer_gold_hi", "passage_lang", "answerable").where("answerable")
+    gold = items.select("id", F.lit("answer_gold").alias("answer_field"), "question", F.col("answer_gold").alias("answer"), language_name(F.col("passage_lang")).alias("lang"))
+    hindi = items.where("answer_gold_hi <> ''").select("id", F.lit("answer_gold_hi").alias("answer_field"), "question", F.col("answer_gold_hi").alias("answer"), F.lit("hi").alias("lang"))
+    return gold.unionByName(hindi)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return PairChecker(language_filters(spark, d)).check(p3_pairs(spark, d))
+
+
 # 4. Same or near-same records across splits
 
 
@@ -149,7 +165,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and name != "p1_votes"}
+    return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and name not in ("p1_votes", "p3_pairs")}
 
 
 def oracle_sql() -> dict[str, str]:
