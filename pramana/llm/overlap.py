@@ -35,10 +35,15 @@ _TOKEN = regex.compile(r"\d+(?:[,٬']\d+)*(?:\.\d+)?|[\p{L}\p{M}]+")
 _DROP = regex.compile(r"[\p{Cf}̀-़়ͯ]")
 
 
+_OTHER_DIGIT = regex.compile(r"(?![0-9])\p{Nd}")
+
+
 def fold(text: str) -> str:
     """Case, compatibility forms, accents, nuktas, zero-width characters and the script of digits folded away."""
+    if text.isascii():
+        return text.lower()
     t = _DROP.sub("", unicodedata.normalize("NFKD", text).casefold()).replace("ँ", "ं")
-    return "".join(str(unicodedata.digit(c)) if c.isdigit() and not c.isascii() and unicodedata.digit(c, None) is not None else c for c in t)
+    return _OTHER_DIGIT.sub(lambda m: str(unicodedata.digit(m[0])), t)
 
 
 def _folded(words: frozenset[str]) -> frozenset[str]:

@@ -14,9 +14,10 @@ from pramana.llm.language import LanguageFilters, detect_segments, fit_filters,
 from pramana.llm.mixing import SourceMixer
 from pramana.llm.overlap import SplitOverlap, overlap_report
 from pramana.llm.pairs import PairChecker
+from pramana.llm.quality import document_statistics, sketches, verdicts
 from pramana.llm.rank_fusion import normal_score_ranking
 from pramana.llm.sentences import HiddenEventModel, sentence_units, train
-from pramana.session import table
+from pramana.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,6 +165,22 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return SourceMixer().mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+# 10. Per-document text quality statistics
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return document_statistics(table(spark, d, "documents"), lang=language_name(F.col("lang")))
+
+
+def p10_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    stats = cut(p10_statistics(spark, d))
+    return verdicts(stats, sketches(stats))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_verdicts(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and name not in ("p1_votes", "p3_pairs")}
 
