@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pramana.llm import sql
+from pramana.llm.alignment import align
 from pramana.llm.consensus import MinimaxConsensus, annotator_key, krippendorff_alpha, latest_votes
 from pramana.llm.encoding import decode, encode
 from pramana.llm.language import LanguageFilters, detect_segments, fit_filters, language_name
@@ -139,6 +140,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_ranking(spark, d).where("position = 1").select("query_id", "passage_id")
 
 
+# 7. Sentence alignment in bilingual documents
+
+
+def p7_units(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units of English (side 0) and Hindi (side 1) documents, by stem."""
+    docs = table(spark, d, "source_docs").where("doc_id is not null").groupBy("doc_id").agg(F.max(language_name(F.col("lang"))).alias("named"))
+    passages = unique_passages(spark, d).join(docs, "doc_id", "left").withColumn("language", F.coalesce("named", "lang")).where("language in ('en', 'hi')")
+    units = sentence_units(passages.select("passage_id", "text"), sentence_model(spark, d), with_text=True)
+    stems = passages.select("passage_id", F.regexp_replace("doc_id", "-[A-Za-z]+$", "").alias("stem"), F.when(F.col("language") == "en", 0).otherwise(1).alias("side"))
+    return units.join(stems, "passage_id")
+
+
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    return align(p7_units(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_links(spark, d).select(F.col("passage_id").alias("en_passage_id"), F.col("start_pos").alias("en_start_pos"), F.col("other_passage_id").alias("hi_passage_id"), F.col("other_start_pos").alias("hi_start_pos"))
+
+
 # 8. Encoding of the whole corpus with a public tokenizer
 
 
@@ -182,7 +203,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and name not in ("p1_votes", "p3_pairs")}
+    return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and name not in ("p1_votes", "p3_pairs", "p7_units")}
 
 
 def oracle_sql() -> dict[str, str]:
