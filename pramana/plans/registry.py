@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pramana.plans import textual
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "bm25_topk"
+FAMILIES = [textual]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for family in FAMILIES for f in family.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
