@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters, patterns and word lists that results depend on.
 ZERO_WIDTH = "​‌‍﻿"
@@ -42,7 +43,7 @@ POSTPOSITIONS = ["के लिए", "के साथ", "के बाद", "
 DANGLING_ABBREVIATION = "\u0001"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
