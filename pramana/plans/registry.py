@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pramana.plans import answering, retrieval, textual
+from pramana.plans import answering, building, dataset, retrieval, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "bm25_topk"
-FAMILIES = [textual, retrieval, answering]
+FAMILIES = [textual, retrieval, answering, building, dataset]
 
 
 def queries() -> dict[str, Query]:
