@@ -223,21 +223,18 @@ class LanguageFilters:
         return all_out
 
 
-def fit_filters(labelled: DataFrame, *, bits: int = 21, max_texts: int = 4000, ratio: float = 0.6, second_ratio: float = 0.4, rounds: int = 2, least: int = 1) -> LanguageFilters:
+def fit_filters(labelled: DataFrame, *, bits: int = 21, max_texts: int = 3000, ratio: float = 0.6, second_ratio: float = 0.4, rounds: int = 2, least: int = 1) -> LanguageFilters:
     """Filters from ``labelled`` (text, lang), whose labels may be partly wrong.
 
-    At most ``max_texts`` texts a language are used, chosen by hash: the documented bound of the sample. A text whose letters
-    are for the most part not of its language's script is left out. A second round leaves out texts the first one finds in
-    another language. The table has 2**bits bytes, whatever the data.
+    At most ``max_texts`` different texts a language are used, chosen by hash: the documented bound of the sample. Only hashes are
+    exchanged to choose them. A text whose letters are for the most part not of its language's script is left out. A
+    second round leaves out texts the first one finds in another language. The table has 2**bits bytes, whatever the data.
     """
-    script = F.create_map(*[F.lit(x) for kv in _SCRIPT_OF_LANGUAGE.items() for x in kv])[F.col("lang")]
-    latin, deva = F.length(F.regexp_replace("text", "[^A-Za-z]", "")), F.length(F.regexp_replace("text", r"[^ऀ-ॿ]", ""))
-    beng, han = F.length(F.regexp_replace("text", r"[^ঀ-৿]", "")), F.length(F.regexp_replace("text", r"[^一-鿿]", ""))
-    own = F.when(script == "latin", latin).when(script == "deva", deva).when(script == "beng", beng).otherwise(han)
-    all_letters = latin + deva + beng + han
-    some = labelled.where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull() & (all_letters > 0) & (own > F.lit(0.8) * all_letters)).select("text", "lang")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = cut(some.distinct().withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= max_texts).select("text", "lang").repartition(8, "text"))
+    some = labelled.where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    first = Window.partitionBy("lang").orderBy("h")
+    # At most max_texts rows for each of LANGUAGES.
+    chosen = some.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_texts).select("lang", "h")
+    sample = cut(some.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang").repartition(8, "text"))
     filters: LanguageFilters | None = None
     for step in range(rounds):
         filters = _count(sample, filters, bits, second_ratio if step else ratio, least)
@@ -259,8 +256,12 @@ def _count(sample: DataFrame, before: LanguageFilters | None, bits: int, ratio:
                 texts, langs = [texts[i] for i in ok], langs[ok]
             if not texts:
                 continue
-            np.add.at(seen, langs, 1)
             g = Grams(texts)
+            own = g.letters[np.arange(len(texts)), [SCRIPTS.index(_SCRIPT_OF_LANGUAGE[LANGUAGES[x]]) + 1 for x in langs]]
+            fits = (own > 0) & (own > 0.8 * g.letters[:, 1:].sum(1))
+            np.add.at(seen, langs[fits], 1)
+            keep = fits[g.owner]
+            g.value, g.owner = g.value[keep], g.owner[keep]
             pair = np.unique(np.stack([g.value, g.owner.astype(np.uint64)]), axis=1)
             value, at = np.unique(pair[0], return_inverse=True)
             counts = np.zeros((len(value), n))
@@ -291,12 +292,12 @@ def _count(sample: DataFrame, before: LanguageFilters | None, bits: int, ratio:
     return LanguageFilters(table)
 
 
-def detect_segments(df: DataFrame, filters: LanguageFilters, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``id_col, seg_no, lang, confidence, segment``: one row per longest one-language stretch; ``seg_no`` 0 if there is just one, else 1, 2, ...
+def detect_segments(df: DataFrame, filters: LanguageFilters, *, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, seg_no, lang, confidence, segment`` and the columns ``keep``: one row per longest one-language stretch; ``seg_no`` 0 if there is just one, else 1, 2, ...
 
     Texts without letters, null and empty ones have one row with a null language and confidence 0.
     """
-    kind = dict(df.dtypes)[id_col]
+    kinds = dict(df.dtypes)
     sent = df.sparkSession.sparkContext.broadcast(filters.table)  # 2**bits bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,9 +308,10 @@ def detect_segments(df: DataFrame, filters: LanguageFilters, *, id_col: str = "i
             for first, run_of in runs_of(texts):
                 for i, segs in enumerate(f.segment(run_of), first):
                     rows += [(i, k + (len(segs) > 1), *s) for k, s in enumerate(segs)]
-            ids = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.string())], [id_col, "seg_no", "lang", "confidence", "segment"]
+                [b.column(0).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.string())] + [b.column(2 + i).take(at) for i in range(len(keep))],
+                [id_col, "seg_no", "lang", "confidence", "segment", *keep],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, seg_no int, lang string, confidence double, segment string")
+    return df.select(id_col, text_col, *keep).mapInArrow(run, f"`{id_col}` {kinds[id_col]}, seg_no int, lang string, confidence double, segment string" + "".join(f", `{c}` {kinds[c]}" for c in keep))

@@ -71,7 +71,7 @@ def language_filters(spark: SparkSession, d: str) -> LanguageFilters:
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     items = unique_items(spark, d, "question", "query_lang").withColumnRenamed("question", "text")
-    return detect_segments(items, language_filters(spark, d)).join(items.select("id", "query_lang"), "id")
+    return detect_segments(items, language_filters(spark, d), keep=("query_lang",))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
