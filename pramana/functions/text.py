@@ -140,8 +140,7 @@ def final_viramas(c: Column) -> Column:
 
 def stopword_rate(c: Column) -> Column:
     words = hindi_words(c)
-    known = F.array(*map(F.lit, HINDI_STOPWORDS_CORE))
-    return _share(F.size(F.filter(words, lambda w: F.array_contains(known, w))).cast("double"), F.size(words).cast("double"))
+    return _share(F.size(F.filter(words, lambda w: w.isin(HINDI_STOPWORDS_CORE))).cast("double"), F.size(words).cast("double"))
 
 
 def script_of(c: Column) -> Column:
@@ -164,7 +163,7 @@ def classify_language(c: Column) -> Column:
     t = strip(F.coalesce(c, F.lit("")))
     ratio = letter_devanagari_ratio(t)
     words = F.transform(F.regexp_extract_all(t, F.lit(rf"([a-zA-Z{DEVA}]+)"), F.lit(1)), F.lower)
-    hits = lambda known: F.size(F.filter(words, lambda w: F.array_contains(F.array(*map(F.lit, known)), w)))
+    hits = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
     hindi, ambiguous, english = hits(UNAMBIGUOUS_MARKERS), hits(AMBIGUOUS_MARKERS), hits(ENGLISH_MARKERS)
     has_deva, has_latin = t.rlike(f"[{DEVA}]"), t.rlike("[A-Za-z]")
     kind = F.when(t == "", "empty").when(ratio >= 0.6, "indic").when(has_deva & has_latin, "mixed").when(has_deva, "indic").when(hindi >= 1, "roman").otherwise("english")
@@ -198,7 +197,7 @@ def tokenize(c: Column, *, stem: bool = True, drop_stopwords: bool = True) -> Co
     words = F.transform(raw, F.lower)
     hindi = lambda w: w.rlike(f"^[{DEVA}]")
     if drop_stopwords:
-        words = F.filter(words, lambda w: ~F.array_contains(F.array(*map(F.lit, HINDI_STOPWORDS + ENGLISH_STOPWORDS)), w))
+        words = F.filter(words, lambda w: ~w.isin(HINDI_STOPWORDS + ENGLISH_STOPWORDS))
     words = F.filter(words, lambda w: hindi(w) | (F.length(w) > 1) | w.rlike("^[0-9]$"))
     return F.transform(words, lambda w: F.when(hindi(w), _stem_hindi(w)).otherwise(_stem_english(w))) if stem else words
 
