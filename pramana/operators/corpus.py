@@ -57,6 +57,20 @@ def pack(sentences: Column) -> Column:
     return F.aggregate(sentences, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
 
 
+def packed(sentences: list[str]) -> list[list[str]]:
+    """As ``pack``, for one document's list of sentences."""
+    groups: list[list[str]] = [[]]
+    size = 0
+    for s in sentences:
+        n = len(s.split())
+        if groups[-1] and (size >= TARGET or size + n > MOST):
+            groups.append([])
+            size = 0
+        groups[-1].append(s)
+        size += n
+    return [g for g in groups if g]
+
+
 def segment_documents(docs: DataFrame, *, version: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, passage_no, section_path, text, text_raw, token_count``: passages of documents.
 
@@ -70,12 +84,12 @@ def segment_documents(docs: DataFrame, *, version: int = 2, id_col: str = "doc_i
     kind = dict(docs.dtypes)[id_col]
     clean = T.normalize_text(F.col("body"))
     sections = split_sections(docs, id_col=id_col, text_col=text_col).withColumn("clean", clean)
-    packs = sections.withColumn("sentences", T.split_sentences(F.col("clean"), protect_abbreviations=version == 2)).select(F.col(id_col).alias("doc_id"), "pos", "path", pack(F.col("sentences")).alias("packs"))
+    packs = sections.withColumn("sentences", T.split_sentences(F.col("clean"), protect_abbreviations=version == 2)).select(F.col(id_col).alias("doc_id"), "pos", "path", "sentences")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         rows: list[list] = []
         for _, s in group.sort_values("pos").iterrows():
-            chunks = [list(p) for p in s["packs"]]
+            chunks = packed(list(s["sentences"]))
             for i, chunk in enumerate(chunks):
                 own = " ".join(chunk)
                 lead = chunks[i - 1][-max(1, int(len(chunks[i - 1]) * OVERLAP)) :] if i else []
