@@ -246,6 +246,15 @@ def test_quality(spark):
     assert quality.verdicts(none, quality.sketches(none)).count() == 0
 
 
+def test_quality_of_skewed_input(spark):
+    prose = "The office is open for all families in the town, and payments are made by the bank within ten days of the order. "
+    table = "Town | Group | Year\nKepur | drivers | 1999\nMora | girls | 2001\nTele | staff | 2003"
+    x = spark.createDataFrame([(i, table if i % 3 == 0 else prose * (1 + i % 4), "en") for i in range(150)], "doc_id long, text string, label string")
+    stats = quality.document_statistics(x, lang=F.col("label"))
+    got = {r["doc_id"]: r["kind"] for r in quality.verdicts(stats, quality.sketches(stats)).collect()}
+    assert got == {i: "prose" if i % 3 else "table" for i in range(150)}
+
+
 def test_registry():
     names = set(registry.queries())
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 10)} | {"p8_ids", "p9_mix"} <= names and set(registry.oracle_sql()) <= names
