@@ -227,18 +227,21 @@ class HiddenEventModel:
         return out
 
 
-def train(texts: DataFrame, *, text_col: str = "text", max_texts: int = 20_000, rounds: int = 6) -> HiddenEventModel:
-    """The model of unlabelled texts: at most ``max_texts`` of them, chosen by hash, the documented bound of the sample.
+def train(texts: DataFrame, *, text_col: str = "text", rounds: int = 6) -> HiddenEventModel:
+    """The model of all different unlabelled texts. The driver gets counts only: a row for each different word, and each pair of words at a mark.
 
     Ends and starts of blocks are sure events and words inside a run without a closing mark are sure non-events; the gaps after
     a mark between are hidden and counted by expectation maximization. A left side first has an event as often as block ends
     show it to end a sentence, so abbreviations start out with none.
     """
-    sample = texts.where(F.col(text_col).isNotNull() & (F.trim(text_col) != "")).select(F.col(text_col).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(max_texts).repartition(8)
+    different = texts.where(F.col(text_col).isNotNull() & (F.trim(text_col) != "")).select(F.col(text_col).alias("t")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, ...], int] = {}
 
+        def counts() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], pa.string()) for i in range(5)] + [pa.array(seen.values(), pa.int64())], ["kind", "a", "b", "c", "d", "n"])
+
         def add(*key: str) -> None:
             seen[key] = seen.get(key, 0) + 1
 
@@ -264,17 +267,19 @@ def train(texts: DataFrame, *, text_col: str = "text", max_texts: int = 20_000,
                             r, s = _right(block[c.start() : c.start() + 60])
                             add("inside", r, s, "", "")
                             add("word", _left(a[0]), "", "", "")
-        rows = list(seen.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in rows], pa.string()) for i in range(5)] + [pa.array([v for _, v in rows], pa.int64())], ["kind", "a", "b", "c", "d", "n"])
+            if len(seen) > 200_000:  # a task's memory doesn't grow with its texts
+                yield counts()
+                seen.clear()
+        yield counts()
 
-    counted = sample.mapInArrow(run, "kind string, a string, b string, c string, d string, n long").groupBy("kind", "a", "b", "c", "d").agg(F.sum("n").alias("n")).collect()  # of a bounded sample
+    counted = different.mapInArrow(run, "kind string, a string, b string, c string, d string, n long").groupBy("kind", "a", "b", "c", "d").agg(F.sum("n").alias("n")).toArrow()
     start: dict[tuple[str, str], float] = {}
     inside: dict[tuple[str, str], float] = {}
     end: dict[tuple[str, str], float] = {}
     stop: dict[str, float] = {}
     word: dict[str, float] = {}
     hidden: list[tuple[str, str, str, str, int]] = []
-    for r in counted:
+    for r in (r for b in counted.to_batches(max_chunksize=10_000) for r in b.to_pylist()):
         if r["kind"] == "start":
             start[r["a"], r["b"]] = r["n"]
         elif r["kind"] == "inside":
@@ -348,7 +353,7 @@ def sentence_units(df: DataFrame, model: HiddenEventModel, *, id_col: str = "pas
     """``id_col, start_pos`` (and ``unit``) of each sentence unit; texts that are null, blank or without letters and digits have none."""
     kind = dict(df.dtypes)[id_col]
     parts = model.__dict__
-    sent = df.sparkSession.sparkContext.broadcast(parts)  # of a bounded sample
+    sent = df.sparkSession.sparkContext.broadcast(parts)  # a row for each different word and mark, as train() has on the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = HiddenEventModel(**sent.value)

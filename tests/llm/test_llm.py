@@ -153,6 +153,12 @@ def test_units(model):
     assert model.starts(None) == model.starts("  \n ") == model.starts("---") == [] and len(model.starts("a b. " * 20000)) >= 1
 
 
+def test_units_of_all_texts(spark):
+    word = F.concat(F.lit("x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    m = sentences.train(spark.range(20_500).select(word.alias("text")))
+    assert len(m.ends) == 20_500
+
+
 def test_units_table(spark, model):
     x = spark.createDataFrame([("p", "One holds. Two holds.", 1), ("p", "One holds. Two holds.", 2), ("n", None, 3)], "passage_id string, text string, start_pos int")
     assert [r[1] for r in rows(sentences.sentence_units(x, model).where("passage_id = 'p'"), "start_pos")].count(0) == 2
