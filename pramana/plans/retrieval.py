@@ -99,13 +99,13 @@ def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     values = retrieval_outcomes(spark, d).select("system", "qid", F.col("recall_5").alias("value"))
-    return metrics.bootstrap_interval(values, resamples=200)
+    return metrics.bootstrap_interval(values)
 
 
 def paired_randomization(spark: SparkSession, d: str) -> DataFrame:
     o = retrieval_outcomes(spark, d)
     one = lambda s: o.where(F.col("system") == s).select("qid", F.col("recall_5").alias("value"))
-    return metrics.paired_randomization(one("dense"), one("bm25"), trials=2000)
+    return metrics.paired_randomization(one("dense"), one("bm25"))
 
 
 def score_skew(spark: SparkSession, d: str) -> DataFrame:

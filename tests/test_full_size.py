@@ -1,0 +1,28 @@
+"""The resampling queries at their whole size, against their SQL with the sizes of the reference put in."""
+
+import os
+
+import duckdb
+import pytest
+
+from pramana.plans import registry
+
+DATA = "/root/testdata/sf0.001"
+SIZES = {
+    "bootstrap_ci": {"generate_series(0, 199)": "generate_series(0, 999)", "(ms)[5]": "(ms)[25]", "(ms)[196]": "(ms)[976]"},
+    "paired_randomization": {"generate_series(0, 1999)": "generate_series(0, 9999)", "2001.0": "10001.0"},
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+@pytest.mark.parametrize("name", sorted(SIZES))
+def test_whole_size(spark, name):
+    sql = registry.oracle_sql()[name]
+    for old, new in SIZES[name].items():
+        sql = sql.replace(old, new)
+    c = duckdb.connect()
+    for f in sorted(os.listdir(DATA)):
+        c.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM read_parquet('{DATA}/{f}')")
+    want = c.execute(sql).df()
+    got = registry.queries()[name](spark, DATA).toPandas()[list(want.columns)]
+    assert [[x if isinstance(x, str) else round(float(x), 5) for x in r] for r in sorted(got.values.tolist())] == [[x if isinstance(x, str) else round(float(x), 5) for x in r] for r in sorted(want.values.tolist())]
