@@ -261,6 +261,16 @@ def test_quality_of_skewed_input(spark):
     assert got == {i: "prose" if i % 3 else "table" for i in range(150)}
 
 
+def test_tails_do_not_switch_with_the_count(spark):
+    def z(n):
+        data = [(i, "en", 0.01 * (i % 9)) for i in range(400)] + [(1000 + i, "hi", 0.5 + 0.02 * (i % 9)) for i in range(n)]
+        zeros = [F.lit(0.0).alias(s) for s in quality.STATISTICS if s not in ("symbol_ratio", "n_words", "n_lines")]
+        stats = spark.createDataFrame(data, "doc_id long, lang string, symbol_ratio double").select("*", F.lit(9.0).alias("n_words"), F.lit(1.0).alias("n_lines"), *zeros)
+        return quality.verdicts(stats, quality.sketches(stats)).where("doc_id = 1008").first()["z_symbol_ratio"]
+
+    assert abs(z(99) - z(100)) < 0.2
+
+
 def test_registry():
     names = set(registry.queries())
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 10)} | {"p8_ids", "p9_mix"} <= names and set(registry.oracle_sql()) <= names
