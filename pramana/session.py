@@ -1,4 +1,4 @@
-"""Session helpers: reading tables, cutting lineage, size-checked broadcasts."""
+"""Session helpers: reading tables, cutting lineage, joins with hot keys."""
 
 from __future__ import annotations
 
@@ -33,14 +33,19 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint on ``df`` if it has at most ``max_rows`` rows (counted), else ``df``, to be joined by shuffle.
+def frequent(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The values of ``key`` that more than one in ``most`` rows have: fewer than ``most``, whatever the size of ``df``. Null is none."""
+    counts = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    return counts.where(F.col("__n") * most > total).select(key)
 
-    ``df`` should be cheap to count: a checkpointed or scanned table.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
+def lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has each ``key`` once, where some keys of ``left`` may hold most of its rows.
 
-def buckets_for(n_rows: int, rows_per_bucket: int, least: int = 1) -> int:
-    """How many buckets keep each at about ``rows_per_bucket`` rows."""
-    return max(least, -(-n_rows // rows_per_bucket))
+    ``hot``: those keys, of proven small number (see ``frequent``): their rows of ``right`` are sent to all tasks, so that no
+    task gets a hot key's rows; all others are joined by exchange.
+    """
+    marks = F.broadcast(hot.select(key).distinct())
+    known = right.join(marks, key, "left_semi")
+    return left.join(marks, key, "left_semi").join(F.broadcast(known), key, how).unionByName(left.join(marks, key, "left_anti").join(right, key, how))
