@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pramana.session import cut
+from pramana.session import cut, frequent, lookup
 
 SMALL_WORDS = frozenset(
     """a an the of in on at to for by with from and or as is are was were be been am do does did has have had all each that this these those it its his her their there any
@@ -68,10 +68,19 @@ def canonical_tokens(text: str | None) -> list[str]:
     return out
 
 
-def record_key(tokens: list[str]) -> str:
-    """Hash of the bag of words without small words; order doesn't count. Where only small words are left they count."""
-    kept = [w for w in tokens if w not in _SMALL] or tokens
-    return hashlib.md5(" ".join(sorted(kept)).encode()).hexdigest()
+def strict_key(tokens: list[str]) -> str:
+    """Hash of the words and numbers in their order, small words included."""
+    return hashlib.md5(" ".join(tokens).encode()).hexdigest()
+
+
+def kept_tokens(tokens: list[str]) -> list[str]:
+    """The words without small words; where only small words are left they count."""
+    return [w for w in tokens if w not in _SMALL] or tokens
+
+
+def bag_key(words: list[str]) -> int:
+    """A number for a bag of words. It finds candidates only: what it joins is compared afterwards."""
+    return int.from_bytes(hashlib.md5(" ".join(sorted(words)).encode()).digest()[:8], "big", signed=True)
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -87,6 +96,62 @@ def one_slip(a: str, b: str) -> bool:
     return short[i:] == long[i + 1 :]
 
 
+#: Small words that tell the part a word plays: those before it, and those after it.
+_BEFORE = frozenset("of in on at to for by with from".split())
+_AFTER = _folded(frozenset("में के की का को से ने पर तक mein me main ke ki ka ko se ne par pe tak च्या चा ची चे ला ना এর".split()))
+
+
+def _marked(tokens: list[str]) -> list[tuple[str, str]]:
+    """The words without small words, each with the small words beside it that tell its part."""
+    out = []
+    for i, w in enumerate(tokens):
+        if w in _SMALL:
+            continue
+        before = tokens[i - 1] if i and tokens[i - 1] in _BEFORE else ""
+        after = tokens[i + 1] if i + 1 < len(tokens) and tokens[i + 1] in _AFTER else ""
+        out.append((w, before + "|" + after))
+    return out
+
+
+def same_clauses(a: list[str], b: list[str]) -> bool:
+    """Have two records of the same words their clauses in another order at most, or do words change their parts?
+
+    The second record is cut into the longest runs of words that stand in the first one too. Two runs may change places unless they are
+    single words without a mark of their part. Of more runs all but two must have a mark: a preposition before or a
+    postposition after them. Of the words' marks two at most may differ, and not be exchanged: "from A to B" is not "from B to A"; with
+    "does A pay B" three runs without marks change places.
+    """
+    x, y = _marked(a), _marked(b)
+    p, q = [w for w, _ in x], [w for w, _ in y]
+    if p == q:
+        return True
+    if len(p) != len(q):
+        return False
+    gone, come = Counter(x) - Counter(y), Counter(y) - Counter(x)
+    if sum(gone.values()) > 2 or sum(gone.values()) == 2 and Counter(m for _, m in gone) == Counter(m for _, m in come):
+        return False
+    while p and p[0] == q[0]:
+        del p[0], q[0], x[0]
+    while p and p[-1] == q[-1]:
+        del p[-1], q[-1], x[-1]
+    free, runs, at = set(range(len(p))), [], 0
+    while at < len(q):
+        best, first = 0, -1
+        for i in free:
+            n = 0
+            while at + n < len(q) and i + n in free and p[i + n] == q[at + n]:
+                n += 1
+            if n > best or n == best and n and i < first:
+                best, first = n, i
+        if not best:
+            return False
+        free -= set(range(first, first + best))
+        runs.append((first, best))
+        at += best
+    bare = [n for i, n in runs if x[i][1].startswith("|") and x[i + n - 1][1].endswith("|")]
+    return len(bare) <= 2 and (len(runs) > 2 or len(p) > 2 or not bare)
+
+
 def split_name(split: Column) -> Column:
     """train, dev or test however it is written, else null."""
     s = F.lower(F.trim(F.regexp_replace(split, r"[\s_\-]+", " ")))
@@ -94,87 +159,141 @@ def split_name(split: Column) -> Column:
 
 
 class SplitOverlap:
-    """All pairs of a training record and an evaluation record that are the same but for their form.
-
-    A record is the bag of its folded words and plain numbers without currency marks, courtesy, numbering and small words;
-    its hash is its key. A word that is rare and one slip away from a word at least ``ratio`` times as frequent (or one that
-    occurs at most ``rare`` times, from any more frequent one) may be a slip of it; such records also have the keys with
-    the slips mended. Records are joined on equal keys. Numbers are never slips. A record with so many readings that they
-    exceed ``max_readings`` is mended with the likeliest word of each slip.
+    """Training and evaluation records that are the same but for their form.
+
+    A record's words and plain numbers, without currency marks, courtesy and numbering, in their order are its variant: its
+    hash joins records that are the *same*. *Near* are different variants with the same words but for small words, the order
+    of clauses (``same_clauses``) and slips: two words are slips of one another if they differ by one slip and one of them
+    is so much rarer that ``ratio`` times its count is at most the other's plus one, whatever the size of the corpus. Numbers are
+    never slips, nor are words of fewer than ``min_length`` letters.
+
+    Candidates have a hash in common: of the bag of words in which each slip is replaced by its most frequent right word, or of
+    that bag with one word left out and one of its one-character deletions put in, for each place whose word has slips with
+    another replacement. So any number of words may have slips of the usual kind, and one a slip of any kind. All further work is on variants: copies count
+    once, and are written out as pairs of records at the very end, hot variants in ``salts`` parts. The orders in which the same words stand are few.
     """
 
-    def __init__(self, *, ratio: float = 8.0, rare: int = 2, max_readings: int = 64, min_length: int = 3):
-        self.ratio, self.rare, self.max_readings, self.min_length = ratio, rare, max_readings, min_length
+    def __init__(self, *, ratio: float = 4.0, min_length: int = 3, salts: int = 64):
+        self.ratio, self.min_length, self.salts = ratio, min_length, salts
 
-    def keys(self, records: DataFrame) -> DataFrame:
-        """``id, key, kind`` for ``records`` (id, text): kind 0 is the record's own key, 1 a mended one. Null and wordless texts have none."""
-        kind = dict(records.dtypes)["id"]
+    def members(self, records: DataFrame) -> DataFrame:
+        """``id, split, source, v, tokens`` of ``records`` (id, text, split, source): v is the variant. Null and wordless texts have none."""
+        kinds = dict(records.dtypes)
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = [canonical_tokens(t) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([record_key(t) if t else None for t in got]), pa.array(got, pa.list_(pa.string()))], ["id", "key", "tokens"])
-
-        own = cut(records.select("id", "text").mapInArrow(tokens, f"id {kind}, key string, tokens array<string>").where("key is not null"))
-        # Copies count once: a word is known by the different records that have it.
-        different = own.groupBy("key").agg(F.first("tokens").alias("tokens"))
-        words = different.select(F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").count().where(F.length("w") >= self.min_length).where(~F.col("w").rlike(r"^\d"))
-        slips = self.slips(cut(words))
-        hit = own.select("id", F.explode(F.array_distinct("tokens")).alias("w")).join(slips, "w").groupBy("id").agg(F.collect_list(F.struct("w", "to")).alias("slips"))
-        limit = self.max_readings
-
-        def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                got = [canonical_tokens(t) for t in b.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], pa.array([strict_key(t) if t else None for t in got], pa.string()), pa.array(got, pa.list_(pa.string()))], ["id", "split", "source", "v", "tokens"])
+
+        rows = records.where("id is not null").select("id", split_name(F.col("split")).alias("split"), "source", "text")
+        return rows.mapInArrow(tokens, f"id {kinds['id']}, split string, source {kinds['source']}, v string, tokens array<string>").where("v is not null")
+
+    def vocabulary(self, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(words, counts): ``w, right, deletions`` of words with slips, and ``w, n`` of all words long enough."""
+        words = variants.select(F.explode(F.array_distinct("tokens")).alias("w")).where((F.length("w") >= self.min_length) & ~F.col("w").rlike(r"^\d")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+        words = cut(words)
+        less = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, F.length("w"))))
+        near = words.select("w", "n", F.explode(F.array_distinct(F.concat(F.array("w"), less))).alias("d"))
+        both = near.join(near.select(F.col("w").alias("v"), F.col("n").alias("m"), "d"), "d").where((F.col("w") != F.col("v")) & (F.greatest("n", "m") + 1 >= self.ratio * F.least("n", "m")))
+
+        def slips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, keys = [], []
-                for i, own_tokens, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    to = {s["w"]: [s["w"], *s["to"]] for s in found}
-                    many = 1
-                    for x in to.values():
-                        many *= len(x)
-                    if many > limit:
-                        to = {w: x[1:2] for w, x in to.items()}
-                    for reading in product(*to.values()):
-                        swap = dict(zip(to, reading))
-                        ids.append(i)
-                        keys.append(record_key([swap.get(w, w) for w in own_tokens]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.string())], ["id", "key"])
-
-        more = own.select("id", "tokens").join(hit, "id").select("id", "tokens", "slips").mapInArrow(mend, f"id {kind}, key string")
-        return own.select("id", "key", F.lit(0).alias("kind")).unionByName(more.select("id", "key", F.lit(1).alias("kind"))).groupBy("id", "key").agg(F.min("kind").alias("kind"))
-
-    def slips(self, words: DataFrame) -> DataFrame:
-        """``w, to``: rare words and the words they may be slips of, the most frequent first; by shared one-character deletions."""
-        cut_one = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, F.length("w"))))
-        near = words.select("w", F.col("count").alias("n"), F.explode(F.array_distinct(F.concat(F.array("w"), cut_one))).alias("d"))
-        other = near.select(F.col("w").alias("v"), F.col("n").alias("m"), "d")
-        pairs = near.join(other, "d").where((F.col("m") > F.col("n")) & ((F.col("m") >= self.ratio * F.col("n")) | (F.col("n") <= self.rare))).select("w", "n", "v", "m").distinct()
-
-        @F.pandas_udf("boolean")
-        def slip(a, b):
-            import pandas as pd
-
-            return pd.Series([one_slip(x, y) for x, y in zip(a, b)])
-
-        return cut(pairs.where(slip("w", "v")).groupBy("w").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("m", "v")))), lambda s: s["v"]).alias("to")))
+                keep = [one_slip(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        pairs = cut(both.select("w", "n", "v", "m", "d").mapInArrow(slips, "w string, n long, v string, m long, d string"))
+        # The right word of a slip: the most frequent of its neighbours, the first by spelling among equals.
+        right = pairs.where("m > n").groupBy("w").agg(F.min(F.struct(-F.col("m"), "v")).getField("v").alias("right"))
+        of_w, of_v = right.select("w", F.col("right").alias("rw")), right.select(F.col("w").alias("v"), F.col("right").alias("rv"))
+        odd = pairs.join(of_w, "w", "left").join(of_v, "v", "left").where(F.coalesce("rw", "w") != F.coalesce("rv", "v"))
+        deletions = odd.groupBy("w").agg(F.collect_set("d").alias("deletions"))
+        return right.join(deletions, "w", "full_outer").select("w", F.coalesce("right", "w").alias("right"), F.coalesce("deletions", F.array().cast("array<string>")).alias("deletions")), words
+
+    def links(self, variants: DataFrame) -> DataFrame:
+        """``train_v, eval_v`` of different near variants of ``variants`` (v, tokens, in_train, in_eval)."""
+        slips, words = self.vocabulary(variants)
+        total = variants.count()
+        single = variants.select("v", F.explode(F.array_distinct("tokens")).alias("w"))
+        # A word that a thousandth of all records have is hot; there are at most 1000 times the words of a record.
+        hit = lookup(single, slips.join(words, "w"), "w", words.where(F.col("n") * 1000 > total).select("w"))
+        hit = hit.groupBy("v").agg(F.collect_list(F.struct("w", "right", "deletions", "n")).alias("slips"))
+        known = cut(variants.join(hit, "v", "left"))
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows: list[tuple] = []
+                for v, tokens, slipped in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    of = {s["w"]: s for s in slipped or []}
+                    mended = [of[w]["right"] if w in of else w for w in tokens]
+                    rows.append((v, bag_key(kept_tokens(mended)), None, None))
+                    for i, w in enumerate(tokens):
+                        for d in of[w]["deletions"] if w in of and w not in _SMALL else ():
+                            rest = [x for x in mended[:i] + mended[i + 1 :] if x not in _SMALL]
+                            rows.append((v, bag_key([*rest, "\0" + d]), w, of[w]["n"]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], ["v", "key", "w", "n"])
+
+        keyed = cut(known.select("v", "tokens", "slips").mapInArrow(keys, "v string, key long, w string, n long").join(variants.select("v", "in_train", "in_eval"), "v").distinct())
+        train = keyed.where("in_train").select("key", F.col("v").alias("train_v"), F.col("w").alias("tw"), F.col("n").alias("tn"))
+        rest = keyed.where("in_eval").select("key", F.col("v").alias("eval_v"), F.col("w").alias("ew"), F.col("n").alias("en"))
+        both = train.join(rest, "key").where("train_v <> eval_v")
+        both = both.where(F.col("tw").eqNullSafe(F.col("ew")) | (F.greatest("tn", "en") + 1 >= self.ratio * F.least("tn", "en")))
+        both = both.select("train_v", "eval_v", "tw", "ew").distinct()
+        side = known.select("v", "tokens", F.map_from_entries(F.transform(F.coalesce("slips", F.array()), lambda s: F.struct(s["w"], s["right"]))).alias("right"))
+        a, b = (side.select(F.col("v").alias(f"{x}_v"), F.col("tokens").alias(f"{x}_tokens"), F.col("right").alias(f"{x}_right")) for x in ("train", "eval"))
+
+        def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for r in batch.to_pylist():
+                    seen = []
+                    for x, w in (("train", r["tw"]), ("eval", r["ew"])):
+                        right = dict(r[f"{x}_right"] or ())
+                        seen.append(["\0" if t == w else right.get(t, t) for t in r[f"{x}_tokens"]])
+                    slip = r["tw"] == r["ew"] or one_slip(r["tw"] or "", r["ew"] or "")
+                    keep.append(slip and sorted(kept_tokens(seen[0])) == sorted(kept_tokens(seen[1])) and same_clauses(*seen))
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        wide = both.join(a, "train_v").join(b, "eval_v").select("train_v", "eval_v", "tw", "ew", "train_tokens", "eval_tokens", "train_right", "eval_right")
+        return wide.mapInArrow(agree, "train_v string, eval_v string").distinct()
+
+    def classes(self, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members, links): ``id, split, source, v`` and ``train_v, eval_v, exact``, each pair of variants that overlap once, a variant with itself too."""
+        rows = cut(self.members(records))
+        variants = cut(rows.groupBy("v").agg(F.first("tokens").alias("tokens"), F.coalesce(F.max(F.col("split") == "train"), F.lit(False)).alias("in_train"), F.coalesce(F.max(F.col("split") != "train"), F.lit(False)).alias("in_eval")))
+        own = variants.where("in_train and in_eval").select(F.col("v").alias("train_v"), F.col("v").alias("eval_v"), F.lit(True).alias("exact"))
+        return rows.where("split is not null").select("id", "split", "source", "v"), cut(own.unionByName(self.links(variants).withColumn("exact", F.lit(False))))
 
     def pairs(self, records: DataFrame) -> DataFrame:
-        """``train_id, eval_id, split, source, exact`` for ``records`` (id, text, split, source), each pair once.
+        """``train_id, eval_id, split, source, exact`` for ``records`` (id, text, split, source), each pair of records once.
 
-        exact: the keys without mending agree. Records without id or split take no part in pairs but their words count.
+        exact: the canonical records agree. Records without id or split take no part in pairs but their words count; ids should
+        be unique. Empty tables give no pairs.
+        """
+        members, links = self.classes(records)
+        salt = F.pmod(F.xxhash64("id"), F.lit(self.salts)).cast("int")
+        # At most 1000 variants have a thousandth of the records each.
+        hot = F.broadcast(frequent(members, "v", 1000).withColumn("hot", F.lit(True)))
+        every = F.sequence(F.lit(0), F.lit(self.salts - 1))
+        one = F.array(F.lit(0))
+        train = members.where("split = 'train'").join(hot, "v", "left").select(F.col("v").alias("train_v"), F.col("id").alias("train_id"), F.when(F.col("hot"), salt).otherwise(0).alias("salt"))
+        spread = links.join(hot.withColumnRenamed("v", "train_v"), "train_v", "left").select("train_v", "eval_v", "exact", F.explode(F.when(F.col("hot"), every).otherwise(one)).alias("salt"))
+        half = train.join(spread, ["train_v", "salt"]).select("train_id", "eval_v", "exact")
+        half = half.join(hot.withColumnRenamed("v", "eval_v"), "eval_v", "left").select("train_id", "eval_v", "exact", F.when(F.col("hot"), F.pmod(F.xxhash64("train_id"), F.lit(self.salts)).cast("int")).otherwise(0).alias("salt"))
+        rest = members.where("split <> 'train'").join(hot, "v", "left").select(F.col("v").alias("eval_v"), F.col("id").alias("eval_id"), "split", "source", F.explode(F.when(F.col("hot"), every).otherwise(one)).alias("salt"))
+        return half.join(rest, ["eval_v", "salt"]).select("train_id", "eval_id", "split", "source", "exact")
+
+    def report(self, records: DataFrame) -> DataFrame:
+        """Per evaluation split and source: ``split, source, items, overlapping, same, near, pairs``; same and near count the items.
+
+        Counted by variants: no pair of records is written out.
         """
-        keys = self.keys(records)
-        sides = records.select("id", split_name(F.col("split")).alias("split"), "source").where("id is not null and split is not null")
-        keyed = keys.join(sides, "id")
-        train = keyed.where("split = 'train'").select("key", F.col("id").alias("train_id"), F.col("kind").alias("tk"))
-        rest = keyed.where("split <> 'train'").select("key", F.col("id").alias("eval_id"), "split", "source", F.col("kind").alias("ek"))
-        both = train.join(rest, "key")
-        return both.groupBy("train_id", "eval_id").agg(F.first("split").alias("split"), F.first("source", ignorenulls=True).alias("source"), (F.min(F.col("tk") + F.col("ek")) == 0).alias("exact"))
-
-
-def overlap_report(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per evaluation split and source: ``split, source, items, overlapping, same, near, train_partners``; same and near count the items."""
-    items = records.select("id", split_name(F.col("split")).alias("split"), "source").where("split in ('dev', 'test')")
-    hit = pairs.groupBy(F.col("eval_id").alias("id")).agg(F.max("exact").alias("exact"), F.count(F.lit(1)).alias("partners"))
-    return items.join(hit, "id", "left").groupBy("split", "source").agg(
-        F.count(F.lit(1)).alias("items"), F.count("partners").alias("overlapping"), F.count_if("exact").alias("same"), F.count_if(~F.col("exact")).alias("near"), F.coalesce(F.sum("partners"), F.lit(0)).cast("bigint").alias("train_partners")
-    )
+        members, links = self.classes(records)
+        partners = members.where("split = 'train'").groupBy(F.col("v").alias("train_v")).agg(F.count(F.lit(1)).alias("n"))
+        of = links.join(partners, "train_v").groupBy(F.col("eval_v").alias("v")).agg(F.sum("n").alias("partners"), F.max("exact").alias("exact"))
+        items = members.where("split <> 'train'").groupBy("v", "split", "source").agg(F.count(F.lit(1)).alias("c")).join(of, "v", "left")
+        none = records.where("id is not null").select("id", split_name(F.col("split")).alias("split"), "source").where("split in ('dev', 'test')").groupBy("split", "source").agg(F.count(F.lit(1)).alias("items"))
+        some = items.groupBy("split", "source").agg(
+            F.sum(F.when(F.col("partners").isNotNull(), F.col("c")).otherwise(0)).alias("overlapping"), F.sum(F.when(F.col("exact"), F.col("c")).otherwise(0)).alias("same"), F.sum(F.when(~F.col("exact"), F.col("c")).otherwise(0)).alias("near"), F.sum(F.coalesce(F.col("partners") * F.col("c"), F.lit(0))).alias("pairs")
+        ).select(F.col("split").alias("s2"), F.col("source").alias("c2"), "overlapping", "same", "near", "pairs")
+        joined = none.join(some, F.col("split").eqNullSafe(F.col("s2")) & F.col("source").eqNullSafe(F.col("c2")), "left")
+        return joined.select("split", "source", "items", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("overlapping", "same", "near", "pairs")])

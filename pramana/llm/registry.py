@@ -13,7 +13,7 @@ from pramana.llm.consensus import MinimaxConsensus, annotator_key, krippendorff_
 from pramana.llm.encoding import decode, encode
 from pramana.llm.language import LanguageFilters, detect_segments, fit_filters, language_name
 from pramana.llm.mixing import SourceMixer
-from pramana.llm.overlap import SplitOverlap, overlap_report
+from pramana.llm.overlap import SplitOverlap
 from pramana.llm.pairs import PairChecker
 from pramana.llm.quality import document_statistics, sketches, verdicts
 from pramana.llm.rank_fusion import normal_score_ranking
@@ -108,8 +108,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    questions = _questions(spark, d)
-    return overlap_report(questions, SplitOverlap().pairs(questions))
+    return SplitOverlap().report(_questions(spark, d))
 
 
 # 5. Sentence boundaries across languages and scripts

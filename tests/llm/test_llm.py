@@ -119,13 +119,45 @@ def test_overlap(spark):
         ("e3", "Which office pays Rs. 4,500 to families in Kepur?", "test", "x"), ("e4", "Which office pays Rs. 3,500 to families in Kepur?", None, "x"), ("e5", None, "dev", "x"), ("e6", "", "dev", None),
     ] + [(f"p{i}", "the office said so", "train", "s") for i in range(3)]
     x = spark.createDataFrame(data, "id string, text string, split string, source string")
-    got = overlap.SplitOverlap(rare=3).pairs(x)
+    got = overlap.SplitOverlap().pairs(x)
     assert {(r["train_id"], r["eval_id"]) for r in got.collect()} == {("t", "e1"), ("t", "e2")}
-    report = {(r["split"], r["source"]): (r["items"], r["overlapping"], r["near"]) for r in overlap.overlap_report(x, got).collect()}
-    assert report[("dev", "x")] == (2, 1, 0) and report[("test", "x")][1:] == (1, 1) and report[("dev", None)] == (1, 0, 0)
+    report = {(r["split"], r["source"]): (r["items"], r["overlapping"], r["near"]) for r in overlap.SplitOverlap().report(x).collect()}
+    assert report[("dev", "x")] == (2, 1, 1) and report[("test", "x")][1:] == (1, 1) and report[("dev", None)] == (1, 0, 0)
     assert overlap.SplitOverlap().pairs(x.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "a,b,same",
+    [
+        ("Does the centre pay the state?", "Does the state pay the centre?", False),
+        ("Does the state government pay the district council?", "Does the district council pay the state government?", False),
+        ("moved from Agra to Delhi", "moved from Delhi to Agra", False),
+        ("Under the plan of 2004, who pays the fee in Kepur?", "Who pays the fee in Kepur under the plan of 2004?", True),
+        ("After 2004, is the fee waived by Rovi Nidhi for poor weavers in Kepur?", "Is the fee waived for poor weavers in Kepur by Rovi Nidhi after 2004?", True),
+    ],
+)
+def test_clauses_may_move_but_not_change_parts(spark, a, b, same):
+    tokens = [overlap.canonical_tokens(t) for t in (a, b)]
+    assert overlap.same_clauses(*tokens) == same
+    x = spark.createDataFrame([("a", a, "train", "s"), ("b", b, "dev", "s")], "id string, text string, split string, source string")
+    assert overlap.SplitOverlap().pairs(x).count() == same
+
+
+def test_many_slips_and_copies(spark):
+    """A slip seen three times beside twenty right words; six slips in one record; hundreds of copies on both sides."""
+    words = "sanctioned committee district allowance monthly beneficiary".split()
+    text = " ".join(words) + " of Kepur"
+    slips = " ".join(w[:2] + w[3:] for w in words) + " of Kepur"
+    other = [(f"o{i}", f"{w} number {i}", None, "s") for i in range(20) for w in words]
+    rare = [(f"r{i}", f"sanctoned number 7{i}", None, "s") for i in range(3)]
+    data = [(f"t{i}", text, "train", "s") for i in range(150)] + [(f"e{i}", text.upper(), "test", "x") for i in range(50)] + [("far", slips, "dev", "y"), ("one", text.replace("sanctioned", "sanctoned"), "dev", "y")]
+    x = spark.createDataFrame(data + other + rare, "id string, text string, split string, source string")
+    got = overlap.SplitOverlap().pairs(x)
+    assert {(r["split"], r["exact"], r["count"]) for r in got.groupBy("split", "exact").count().collect()} == {("test", True, 150 * 50), ("dev", False, 300)}
+    report = {r["split"]: (r["items"], r["overlapping"], r["same"], r["near"], r["pairs"]) for r in overlap.SplitOverlap().report(x).collect()}
+    assert report == {"test": (50, 50, 50, 0, 7500), "dev": (2, 2, 0, 2, 300)}
+
+
 @pytest.mark.parametrize("a,b,slip", [("before", "bfeore", True), ("share", "shere", True), ("yearly", "yearrly", True), ("suta", "sunta", True), ("cat", "cat", False), ("cat", "dog", False), ("ab", "ba", True), ("abcd", "abdcx", False)])
 def test_one_slip(a, b, slip):
     assert overlap.one_slip(a, b) is slip and overlap.one_slip(b, a) is slip
