@@ -63,6 +63,16 @@ def _classes() -> np.ndarray:
     return table
 
 
+def _kinds(code: np.ndarray) -> np.ndarray:
+    """The class of each code point, as in _classes; ideographs outside the basic plane are Han, other letters there another script."""
+    kind = np.where(code < 65536, _classes()[np.minimum(code, 65535)], 0)
+    far = np.flatnonzero(code >= 65536)
+    if len(far):
+        of = {c: 4 if 0x20000 <= c < 0x34000 else 5 if unicodedata.category(chr(c))[0] in "LM" else 0 for c in np.unique(code[far]).tolist()}
+        kind[far] = [of[c] for c in code[far].tolist()]
+    return kind
+
+
 class Grams:
     """Hashed n-grams of the folded letters of some texts; all other characters are one space.
 
@@ -78,9 +88,8 @@ class Grams:
             owner.append(np.full(len(c), i, np.int64))
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
         text = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        kind = np.where(code < 65536, _classes()[np.minimum(code, 65535)], 0)
-        self.letters = np.zeros((len(texts), 6), np.int64)
-        np.add.at(self.letters, (text, kind), 1)
+        kind = _kinds(code)
+        self.letters = np.bincount(text * 6 + kind, minlength=6 * len(texts)).reshape(-1, 6).astype(np.int64)
         space = kind == 0
         keep = ~space | np.r_[True, ~space[:-1]] | (np.diff(text, prepend=-1) != 0)
         code, text, kind = np.where(space, 32, code)[keep].astype(np.uint64), text[keep], kind[keep]
@@ -110,8 +119,15 @@ _BREAK = regex.compile(r"(?<=[?!।॥？！。])[\"'”’)\]]*\s*(?=\S)|(?<=\.
 _LAST_WORD = regex.compile(r"([\p{L}\p{M}]+)\.[\"'”’)\]]*\s*$")
 
 
-def stretches(text: str | None) -> list[str]:
-    """The sentences of a short text, without the parts that have no letters; an abbreviation's stop ends none."""
+_UNIT = regex.compile(r"\p{Han}|[\p{L}\p{M}--\p{Han}]+", regex.V1)
+
+
+def stretches(text: str | None) -> list[tuple[str, str]]:
+    """(what tells the language, whole) of the sentences of a short text; an abbreviation's stop ends none.
+
+    A sentence of a single word, a cut-off opening or numbering goes with the next one, at the end with the last one, whose words tell
+    the language. Where there are only such parts the whole text is one. Ideographs are words each.
+    """
     out: list[str] = []
     at = 0
     t = text or ""
@@ -120,11 +136,21 @@ def stretches(text: str | None) -> list[str]:
         last = _LAST_WORD.search(part)
         if last and (fold(last[1]) in _ABBREVIATIONS or (len(last[1]) == 1 and last[1].isalpha())):
             continue
-        out.append(part)
+        out.append(t[at : m.end()])
         at = m.end()
     out.append(t[at:])
-    # A stretch of one or two words and no sentence end of its own goes with the next one: numbering, a cut-off opening.
-    return [p for p in out if regex.search(r"\p{L}", p) and len(regex.findall(r"[\p{L}\p{M}]+", p)) > 1] or [t]
+    got: list[tuple[str, str]] = []
+    before = ""
+    for part in out:
+        if len(_UNIT.findall(part)) > 1:
+            got.append((part.strip(), before + part))
+            before = ""
+        else:
+            before += part
+    if not got:
+        return [(t, t)]
+    got[-1] = (got[-1][0], got[-1][1] + before)
+    return [(core, whole.strip()) for core, whole in got]
 
 
 _LATIN_WORD = regex.compile(r"[A-Za-z]{2,}")
@@ -156,25 +182,27 @@ class LanguageFilters:
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) corrected shares, and each text's main script (index into SCRIPTS, -1 for none)."""
-        g = Grams(texts)
+        return self._scores(Grams(texts), len(texts))
+
+    def _scores(self, g: Grams, n: int) -> tuple[np.ndarray, np.ndarray]:
         letters = g.letters[:, 1:5]
         # Latin words stand in texts of other scripts rather than the other way round: those need a quarter only.
         weight = letters * np.array([1, 3, 3, 3])
         main = np.where(letters.sum(1) > 0, weight.argmax(1), -1)
         use = g.script == main[g.owner] + 1
         owner, mask = g.owner[use], self.masks(g.value[use])
-        total = np.bincount(owner, minlength=len(texts)).astype(float)
-        out = np.zeros((len(texts), len(LANGUAGES)))
+        total = np.bincount(owner, minlength=n).astype(float)
+        out = np.zeros((n, len(LANGUAGES)))
         for i, name in enumerate(LANGUAGES):
-            hit = np.bincount(owner, weights=(mask >> i) & 1, minlength=len(texts))
+            hit = np.bincount(owner, weights=(mask >> i) & 1, minlength=n)
             share = (hit / np.maximum(total, 1) - self.false[i]) / (1 - self.false[i])
             fits = np.array([s >= 0 and SCRIPTS[s] == _SCRIPT_OF_LANGUAGE[name] for s in main], bool)
             out[:, i] = np.where(fits, np.maximum(share, 0), 0)
         return out, main
 
-    def detect(self, texts: list[str | None]) -> list[tuple[str | None, float]]:
-        """Language and confidence of each text taken as in one language; (None, 0) without letters."""
-        score, main = self.scores(texts)
+    def detect(self, texts: list[str | None], grams: Grams | None = None) -> list[tuple[str | None, float]]:
+        """Language and confidence of each text taken as in one language; (None, 0) without letters. ``grams``: those of the texts, if at hand."""
+        score, main = self._scores(grams or Grams(texts), len(texts))
         best = score.argmax(1)
         found: list[tuple[str | None, float]] = []
         for i, t in enumerate(texts):
@@ -208,11 +236,11 @@ class LanguageFilters:
     def segment(self, texts: list[str | None]) -> list[list[tuple[str | None, float, str]]]:
         """Of each text the (language, confidence, text) of its longest stretches in one language, in reading order."""
         parts = [stretches(t) for t in texts]
-        found = iter(self.detect([p for own in parts for p in own]))
+        found = iter(self.detect([core for own in parts for core, _ in own]))
         all_out: list[list[tuple[str | None, float, str]]] = []
         for own in parts:
             out: list[tuple[str | None, float, str]] = []
-            for part in own:
+            for _, part in own:
                 lang, sure = next(found)
                 if out and (lang is None or out[-1][0] is None or out[-1][0] == lang):
                     was = out[-1]
@@ -226,15 +254,19 @@ class LanguageFilters:
 def fit_filters(labelled: DataFrame, *, bits: int = 21, max_texts: int = 3000, ratio: float = 0.6, second_ratio: float = 0.4, rounds: int = 2, least: int = 1) -> LanguageFilters:
     """Filters from ``labelled`` (text, lang), whose labels may be partly wrong.
 
-    At most ``max_texts`` different texts a language are used, chosen by hash: the documented bound of the sample. Only hashes are
-    exchanged to choose them. A text whose letters are for the most part not of its language's script is left out. A
-    second round leaves out texts the first one finds in another language. The table has 2**bits bytes, whatever the data.
+    At most ``max_texts`` different texts a language are used, those of the smallest hashes: the documented bound of the sample. Only
+    hashes below a bound that leaves about four times as many, from an approximate count of the different texts, are exchanged to choose
+    them; so no task gets more, however many texts a language has. A text whose letters are for the most part not of its language's script is
+    left out. A second round leaves out texts the first one finds in another language. The table has 2**bits bytes, whatever the data.
     """
     some = labelled.where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    sizes = some.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()  # a row for each of LANGUAGES
+    bounds = [x for r in sizes for x in (F.lit(r["lang"]), F.lit(min((1 << 63) - 1, int(4 * max_texts / max(r["n"], 1) * (1 << 64)) - (1 << 63))))]
+    few = some.where(F.col("h") <= F.create_map(*bounds)[F.col("lang")]) if bounds else some
     first = Window.partitionBy("lang").orderBy("h")
     # At most max_texts rows for each of LANGUAGES.
-    chosen = some.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_texts).select("lang", "h")
-    sample = cut(some.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang").repartition(8, "text"))
+    chosen = few.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_texts).select("lang", "h")
+    sample = cut(few.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang").repartition(8, "text"))
     filters: LanguageFilters | None = None
     for step in range(rounds):
         filters = _count(sample, filters, bits, second_ratio if step else ratio, least)
@@ -250,22 +282,24 @@ def _count(sample: DataFrame, before: LanguageFilters | None, bits: int, ratio:
         parts_v, parts_c = [], []
         for b in batches:
             texts, langs = b.column(0).to_pylist(), np.array([LANGUAGES.index(x) for x in b.column(1).to_pylist()], np.int64)
-            if before is not None and texts:
-                found = before.detect(texts)
-                ok = [i for i, f in enumerate(found) if f[0] == LANGUAGES[langs[i]]]
-                texts, langs = [texts[i] for i in ok], langs[ok]
             if not texts:
                 continue
             g = Grams(texts)
             own = g.letters[np.arange(len(texts)), [SCRIPTS.index(_SCRIPT_OF_LANGUAGE[LANGUAGES[x]]) + 1 for x in langs]]
             fits = (own > 0) & (own > 0.8 * g.letters[:, 1:].sum(1))
-            np.add.at(seen, langs[fits], 1)
+            if before is not None:
+                fits &= [f[0] == LANGUAGES[x] for f, x in zip(before.detect(texts, g), langs)]
+            seen += np.bincount(langs[fits], minlength=n)
             keep = fits[g.owner]
-            g.value, g.owner = g.value[keep], g.owner[keep]
-            pair = np.unique(np.stack([g.value, g.owner.astype(np.uint64)]), axis=1)
-            value, at = np.unique(pair[0], return_inverse=True)
-            counts = np.zeros((len(value), n))
-            np.add.at(counts, (at.ravel(), langs[pair[1].astype(np.int64)]), 1)
+            value, owner = g.value[keep], g.owner[keep]
+            order = np.lexsort((owner, value))
+            value, owner = value[order], owner[order]
+            once = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])][: len(value)]
+            value, owner = value[once], owner[once]
+            starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][: len(value)])
+            at = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(value)]))
+            counts = np.bincount(at * n + langs[owner], minlength=len(starts) * n).reshape(-1, n).astype(float)
+            value = value[starts]
             parts_v.append(value)
             parts_c.append(counts)
         value = np.concatenate([*parts_v, np.zeros(1, np.uint64)])

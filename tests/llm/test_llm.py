@@ -306,3 +306,11 @@ def test_tails_do_not_switch_with_the_count(spark):
 def test_registry():
     names = set(registry.queries())
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 10)} | {"p8_ids", "p9_mix"} <= names and set(registry.oracle_sql()) <= names
+
+
+def test_short_and_ideographic_stretches_stay():
+    parts = language.stretches("这是一个测试句子。 What is the fee for this school?")
+    assert [w for _, w in parts] == ["这是一个测试句子。", "What is the fee for this school?"]
+    parts = language.stretches("Who pays the fee? Kyun. The office pays the fee.")
+    assert "".join(w.replace(" ", "") for _, w in parts) == "Whopaysthefee?Kyun.Theofficepaysthefee."
+    assert language.Grams(["\U00020000\U00020001"]).letters[0, 4] == 2
