@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pramana.llm.language import LanguageFilters
 from pramana.llm.overlap import _CURRENCY, _SMALL, canonical_tokens, fold
-from pramana.session import cut
+from pramana.session import cut, frequent, lookup
 
 PLACEHOLDERS = frozenset(
     map(
@@ -76,8 +76,10 @@ def is_empty(answer: str | None) -> bool:
 
 def is_copy(question: str | None, answer: str | None) -> bool:
     """The answer has the question's words and little else, whatever the case, marks or a heading such as "Answer:"."""
-    q = {w for w in canonical_tokens(question) if w not in _SMALL}
     a = {w for w in canonical_tokens(answer) if w not in _SMALL} - {"question", "answer", "ans", "उत्तर", "प्रश्न", "jawab", "sawal"}
+    if len(a) < 3:
+        return False
+    q = {w for w in canonical_tokens(question) if w not in _SMALL}
     common = len(q & a)
     return common >= 3 and common >= 0.8 * len(a) and common >= 0.7 * len(q)
 
@@ -124,16 +126,19 @@ def words_of(answer: str) -> list[str]:
 TOP = "\U0010ffff"
 
 
-def prefix_weights(keys: DataFrame, queries: DataFrame) -> DataFrame:
-    """``q, longer``: the weight of the keys that start with the text q and go on. ``keys``: (s, n), each s once; ``queries``: (q), distinct.
+def prefix_weights(keys: DataFrame, queries: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``q, longer`` and ``extra``: the weight of the keys that start with the text q and go on, and the columns ``extra`` (long) of the key q itself, 0 if there is none.
 
-    All keys, and the first and last place a query's extensions can have, are sorted together by range partitions; extensions
-    are the neighbours after a query that have all of it as their common prefix. Weights are added up within partitions, over
-    the sums of the partitions before. Nothing but one sum a partition goes to the driver.
+    ``keys``: (s, n, extra), each s once; ``queries``: (q), distinct. All keys, and the first and last place a query's extensions
+    can have, are sorted together by range partitions; extensions are the neighbours after a query that have all of it as their
+    common prefix. Weights are added up within partitions, over the sums of the partitions before. Nothing but one sum a
+    partition goes to the driver.
     """
-    rows = keys.select("s", F.lit(0).alias("kind"), F.col("n").cast("long").alias("n")).unionByName(queries.select(F.col("q").alias("s"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n")))
-    rows = rows.unionByName(queries.select(F.concat("q", F.lit(TOP)).alias("s"), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("n")))
-    ordered = cut(rows.repartitionByRange("s", "kind").sortWithinPartitions("s", "kind")).withColumn("part", F.spark_partition_id())
+    zero = F.lit(0).cast("long")
+    own = [F.col(c).cast("long").alias(c) for c in extra]
+    none = [zero.alias(c) for c in extra]
+    rows = keys.select("s", F.lit(0).alias("kind"), F.col("n").cast("long").alias("n"), *own).unionByName(queries.select(F.explode(F.array(F.struct(F.col("q").alias("s"), F.lit(1).alias("kind")), F.struct(F.concat("q", F.lit(TOP)).alias("s"), F.lit(2).alias("kind")))).alias("v")).select("v.*", zero.alias("n"), *none))
+    ordered = cut(rows.repartitionByRange("s").sortWithinPartitions("s", "kind")).withColumn("part", F.spark_partition_id())
     sums = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     before, total = {}, 0
     for p in sorted(sums):
@@ -142,39 +147,53 @@ def prefix_weights(keys: DataFrame, queries: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import pyarrow.compute as pc
 
-        carry = None
+        carry, last = None, None
         for b in batches:
             if not b.num_rows:
                 continue
             if carry is None:
-                carry = before[b.column(3)[0].as_py()]
-            at = carry + np.cumsum(b.column(2).to_numpy())
+                carry = before[b.column(b.num_columns - 1)[0].as_py()]
+            if last is not None:
+                b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            # The row before is there once more: it is not counted again.
+            n = b.column(2).to_numpy(zero_copy_only=False).copy()
+            if last is not None:
+                n[0] = 0
+            at = carry + np.cumsum(n)
             carry = int(at[-1])
-            kind = b.column(1).to_numpy()
+            kind = b.column(1).to_numpy(zero_copy_only=False)
             pick = np.flatnonzero(kind > 0)
-            s = b.column(0).take(pa.array(pick)).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([x[:-1] if k == 2 else x for x, k in zip(s, kind[pick])], pa.string()), pa.array(np.where(kind[pick] == 2, at[pick], -at[pick]))], ["q", "w"])
+            pick = pick[pick > 0] if last is not None else pick
+            last = b.slice(b.num_rows - 1)
+            s, k = b.column(0), kind[pick]
+            prior = np.maximum(pick - 1, 0)
+            own = (k == 1) & (pick > 0) & (kind[prior] == 0) & pc.equal(s.take(pa.array(prior)), s.take(pa.array(pick))).to_numpy(zero_copy_only=False).astype(bool)
+            names = s.take(pa.array(pick)).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([x[:-1] if j == 2 else x for x, j in zip(names, k)], pa.string()), pa.array(np.where(k == 2, at[pick], -at[pick])), *[pa.array(np.where(own, b.column(3 + i).to_numpy(zero_copy_only=False)[prior], 0)) for i in range(len(extra))]], ["q", "w", *extra])
 
-    return ordered.select("s", "kind", "n", "part").mapInArrow(run, "q string, w long").groupBy("q").agg(F.sum("w").alias("longer"))
+    found = ordered.select("s", "kind", "n", *extra, "part").mapInArrow(run, "q string, w long" + "".join(f", {c} long" for c in extra))
+    return found.groupBy("q").agg(F.sum("w").alias("longer"), *[F.sum(c).alias(c) for c in extra])
 
 
 class PairChecker:
     """One defect, or none, of each answer.
 
-    In this order: empty, copy, refusal, wrong_language, truncated. An answer is truncated if it ends with a cut mark or an open
-    bracket, or if sorting all answers (numbers and rare words masked) shows it as a shortened version: others go on after it,
-    none stops there with a closing mark, and it isn't a phrase often given whole, less than ``whole`` times as often as
-    what goes on. Where no answer starts with all of it, its last words are looked for in the same way among the runs of words
-    of all answers. Where the lengths of unstopped answers have a spike, a length limit, ``whole_at_limit`` is the bound.
-    A word is rare below ``rare`` of all answers, so that there are at most (words an answer) / rare known words.
+    In this order: empty, copy, refusal, wrong_language, truncated. An answer is truncated if sorting all answers (numbers and
+    rare words masked) shows it as a shortened version: others go on after it, and either it ends with a cut mark, an open
+    bracket or a word that opens something, or none stops there with a closing mark and it isn't a phrase often given whole, less than ``whole``
+    times as often as what goes on. Where no answer starts with all of it, its last ``TAIL`` words are looked for in the same way
+    among the sorted runs of words of all answers, for one with a cut mark also its last two words or one. Where the lengths of unstopped answers have a spike, a length
+    limit, ``whole_at_limit`` is the bound. A spike holds a thousandth of them at least, five times as many as the lengths around
+    on average, and more than these would by chance. A word is rare below ``rare`` of all answers plus two, so that there are at most (words an answer) / rare known words.
     """
 
     def __init__(self, filters: LanguageFilters, *, rare: float = 0.001, whole: float = 0.15, whole_at_limit: float = 0.5, sure: float = 0.55):
         self.filters, self.rare, self.whole, self.whole_at_limit, self.sure = filters, rare, whole, whole_at_limit, sure
 
     def truncated(self, answers: DataFrame) -> DataFrame:
-        """``answer`` of each distinct text of ``answers`` (answer) that breaks off."""
+        """``answer, way`` of each distinct text of ``answers`` (answer) that breaks off; way is how it was found: answers or runs that go on, with or without a cut mark."""
         texts = answers.where("answer is not null and answer <> ''").groupBy("answer").agg(F.count(F.lit(1)).alias("n"))
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +201,7 @@ class PairChecker:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(set(words_of(t))) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["answer", "n", "words"])
 
         worded = cut(texts.mapInArrow(split, "answer string, n long, words array<string>"))
-        n = worded.count()
-        least = max(3, int(self.rare * n))
+        least = self.rare * worded.count() + 2
         known = frozenset(r["w"] for r in worded.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= least).collect())
 
         def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,36 +209,47 @@ class PairChecker:
                 got = [masked(t, known) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([g[i] for g in got]) for i in range(4)]], ["answer", "n", "form", "raw", "stopped", "cut_off"])
 
-        forms = cut(worded.select("answer", "n").mapInArrow(mask, "answer string, n long, form string, raw string, stopped boolean, cut_off boolean"))
-        keys = forms.where("form <> ''").groupBy("form").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stopped"), F.col("n")).otherwise(0)).alias("stops"), F.sum(F.when(~F.col("stopped") & ~F.col("cut_off"), F.col("n")).otherwise(0)).alias("bare"))
-        keys = cut(keys)
-        open_ended = forms.where("form <> '' and not stopped")
-        asked = open_ended.select(F.explode(F.array("form", "raw")).alias("q")).distinct()
-        longer = cut(prefix_weights(keys.select(F.col("form").alias("s"), "n"), asked))
-        # Lengths at which unstopped answers pile up: five times as many as at the lengths around.
-        lengths = open_ended.groupBy(F.length("answer").alias("len")).agg(F.sum("n").alias("c"))
-        around = lengths.select("len", "c", F.explode(F.sequence(F.col("len") - 5, F.col("len") + 5)).alias("at"))
-        spikes = lengths.join(around.groupBy(F.col("at").alias("len")).agg((F.sum("c") / 11).alias("mean")), "len").where("c >= 20 and c >= 5 * mean").select(F.col("len").alias("spike"))
-        x = open_ended.join(keys.select("form", "stops", "bare"), "form")
-        x = x.join(longer.select(F.col("q").alias("form"), F.col("longer").alias("l1")), "form").join(longer.select(F.col("q").alias("raw"), F.col("longer").alias("l2")), "raw")
-        x = x.join(F.broadcast(spikes), F.length("answer") == F.col("spike"), "left")
-        longest = F.greatest("l1", "l2")
-        bound = F.when(F.col("spike").isNotNull(), self.whole_at_limit).otherwise(self.whole)
-        x = cut(x.withColumn("found", F.col("cut_off") | ((longest > 0) & (F.col("stops") == 0) & (F.col("bare") <= bound * longest))).withColumn("longest", longest))
-        by_tail = self._by_tail(keys, x.where("not found and longest = 0 and stops = 0").select("answer", "form", "raw"))
-        return x.where("found").select("answer").unionByName(by_tail).distinct()
+        forms = cut(worded.select("answer", "n").mapInArrow(mask, "answer string, n long, form string, raw string, stopped boolean, cut_off boolean").where("form <> ''"))
+        keys = cut(forms.groupBy("form").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stopped"), F.col("n")).otherwise(0)).alias("stops"), F.sum(F.when(~F.col("stopped") & ~F.col("cut_off"), F.col("n")).otherwise(0)).alias("bare")))
+        open_ended = forms.where("not stopped")
+        # From here on rows are the different masked answers; a raw has one form.
+        raws = cut(open_ended.groupBy("form", "raw", "cut_off").agg(F.sum("n").alias("n")))
+        asked = raws.select(F.explode(F.array("form", "raw")).alias("q")).distinct()
+        longer = cut(prefix_weights(keys.select(F.col("form").alias("s"), "n", "stops", "bare"), asked, ("stops", "bare")))
+        x = raws.where("form = raw").join(longer.select(F.col("q").alias("raw"), F.col("longer").alias("longest"), "stops", "bare"), "raw")
+        other = raws.where("form <> raw").join(longer.select(F.col("q").alias("raw"), F.col("longer").alias("l2")), "raw")
+        other = lookup(other, longer.select(F.col("q").alias("form"), F.col("longer").alias("l1"), "stops", "bare"), "form", frequent(raws.where("form <> raw"), "form", 1000))
+        both = ["form", "raw", "cut_off", "longest", "stops", "bare"]
+        x = cut(x.select(*both).unionByName(other.withColumn("longest", F.greatest("l1", "l2")).select(*both)))
+        goes_on = x.where("longest > 0 and (cut_off or stops = 0)").select("form", "raw", "cut_off", F.when(F.col("cut_off"), 0.0).otherwise(F.col("bare") / F.col("longest")).alias("share"), F.lit("answers").alias("way"))
+        by_tail = self._by_tail(keys, x.where("longest = 0 and (cut_off or stops = 0)").select("form", "raw", "cut_off"))
+        found = goes_on.where(F.col("share") <= self.whole_at_limit).unionByName(by_tail.where(F.col("share") <= self.whole))
+        found = cut(found.groupBy("raw", "cut_off").agg(F.min(F.struct("share", "way")).alias("v")).select("raw", "cut_off", "v.*"))
+        # Lengths at which unstopped answers pile up; a thousand at most, as each holds a thousandth.
+        lengths = cut(open_ended.groupBy(F.length("answer").alias("len")).agg(F.sum("n").alias("c")))
+        total = lengths.agg(F.sum("c")).first()[0] or 0
+        around = lengths.select("c", F.explode(F.sequence(F.col("len") - 5, F.col("len") + 5)).alias("len")).groupBy("len").agg((F.sum("c") / 11).alias("mean"))
+        spikes = lengths.where(F.col("c") * 1000 >= total).join(around, "len").where("c >= 5 * mean and c - mean >= 6 * sqrt(mean + 1)").select(F.col("len").alias("spike"))
+        hot = frequent(open_ended, "raw", 1000)
+        x = lookup(open_ended.withColumnRenamed("cut_off", "cut_here").select("answer", "raw", "cut_here"), found.groupBy("raw").pivot("cut_off", [True, False]).agg(F.first(F.struct("share", "way"))), "raw", hot)
+        x = x.withColumn("v", F.when(F.col("cut_here"), F.col("true")).otherwise(F.col("false"))).where("v is not null").join(F.broadcast(spikes), F.length("answer") == F.col("spike"), "left")
+        return x.where(F.col("v.share") <= F.when(F.col("spike").isNotNull(), self.whole_at_limit).otherwise(self.whole)).select("answer", F.concat("v.way", F.when(F.col("cut_here"), ", cut mark").otherwise("")).alias("way"))
 
     def _by_tail(self, keys: DataFrame, rest: DataFrame) -> DataFrame:
-        """The answers of ``rest`` whose last words go on elsewhere and end no answer."""
+        """``form, raw, cut_off, share, way`` of those of ``rest`` whose last words go on elsewhere and end no answer."""
         words = F.split("form", " ")
         runs = keys.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, RUN), " "))).alias("s")).groupBy("s").agg(F.sum("n").alias("n"))
-        tail = lambda c: F.array_join(F.slice(F.split(c, " "), -TAIL, TAIL), " ")
-        ends = keys.where(F.size(words) >= TAIL).groupBy(tail("form").alias("t")).agg(F.sum("stops").alias("t_stops"), F.sum("bare").alias("t_bare"))
-        rest = rest.where(F.size(words) > TAIL).withColumns({"t": tail("form"), "u": tail("raw")})
-        longer = cut(prefix_weights(runs, rest.select(F.explode(F.array("t", "u")).alias("q")).distinct()))
-        x = rest.join(longer.select(F.col("q").alias("t"), F.col("longer").alias("l1")), "t").join(longer.select(F.col("q").alias("u"), F.col("longer").alias("l2")), "u").join(ends, "t", "left")
-        most = F.greatest("l1", "l2")
-        return x.where((most > 0) & (F.coalesce("t_stops", F.lit(0)) == 0) & (F.coalesce("t_bare", F.lit(0)) <= self.whole * most)).select("answer")
+        last = lambda c, k: F.array_join(F.slice(F.split(c, " "), -k, k), " ")
+        ends = keys.where(F.size(words) >= TAIL).groupBy(last("form", TAIL).alias("t")).agg(F.sum("stops").alias("t_stops"), F.sum("bare").alias("t_bare"))
+        # Without a cut mark a run must be a part of the answer only; with one its last word alone may tell.
+        lengths = F.when(F.col("cut_off"), F.sequence(F.lit(1), F.least(F.lit(TAIL), F.size(words)))).otherwise(F.when(F.size(words) > TAIL, F.array(F.lit(TAIL))).otherwise(F.array().cast("array<int>")))
+        tails = cut(rest.select("form", "raw", "cut_off", F.explode(lengths).alias("k")).select("form", "raw", "cut_off", "k", F.explode(F.array(last("form", F.col("k")), last("raw", F.col("k")))).alias("t")).distinct())
+        longer = prefix_weights(runs, tails.select(F.col("t").alias("q")).distinct())
+        info = cut(longer.where("longer > 0").withColumnRenamed("q", "t").join(ends, "t", "left"))
+        x = lookup(tails, info, "t", frequent(tails, "t", 1000))
+        x = x.groupBy("form", "raw", "cut_off").agg(F.max("longer").alias("longest"), F.sum(F.when(F.col("t") == last("form", F.col("k")), F.col("t_stops"))).alias("t_stops"), F.sum(F.when(F.col("t") == last("form", F.col("k")), F.col("t_bare"))).alias("t_bare"))
+        x = x.where(F.col("cut_off") | (F.coalesce("t_stops", F.lit(0)) == 0))
+        return x.select("form", "raw", "cut_off", F.when(F.col("cut_off"), 0.0).otherwise(F.coalesce("t_bare", F.lit(0)) / F.col("longest")).alias("share"), F.lit("runs").alias("way"))
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """``id, answer_field, defect`` of the defective ones of ``pairs`` (id, answer_field, question, answer, lang).
@@ -229,9 +258,10 @@ class PairChecker:
         Repeated rows give repeated results.
         """
         kind = dict(pairs.dtypes)["id"]
-        broken = self.truncated(pairs.select("answer")).withColumn("broken", F.lit(True))
-        # Hot answers are few and joined by value; the side of broken ones has each once.
-        marked = pairs.select("id", "answer_field", "question", "answer", "lang").join(broken, "answer", "left").select("id", "answer_field", "question", "answer", "lang", F.coalesce("broken", F.lit(False)).alias("broken"))
+        pairs = cut(pairs.select("id", "answer_field", "question", "answer", "lang"))
+        broken = self.truncated(pairs.select("answer")).select("answer", F.lit(True).alias("broken")).distinct()
+        marked = lookup(pairs.where("answer <> ''"), broken, "answer", frequent(pairs.where("answer <> ''"), "answer", 1000), "left").unionByName(pairs.where("answer is null or answer = ''").withColumn("broken", F.lit(False)))
+        marked = marked.select("id", "answer_field", "question", "answer", "lang", F.coalesce("broken", F.lit(False)).alias("broken"))
         sent = pairs.sparkSession.sparkContext.broadcast(self.filters.table)
         sure = self.sure
 
