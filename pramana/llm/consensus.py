@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pramana.session import cut
+from pramana.session import cut, frequent, lookup
 
 
 def annotator_key(name: Column) -> Column:
@@ -72,7 +72,7 @@ class MinimaxConsensus:
     The label ``x`` that annotator i gives item j of true label c has probability softmax(sigma_i[c] + tau_j[c])[x]. Block
     coordinate ascent on the regularised dual: a pass over the items solves each item's posterior and tilt with the
     annotators' tilts held, and gathers the gradient for a Newton step of the latter. The first pass takes vote shares for
-    posteriors. Items are rows of arrays, never split and never gathered; an annotator has k*k numbers.
+    posteriors. Items are rows of arrays, of one vote an annotator at most; an annotator has k*k numbers.
 
     classes: number of labels, 0 .. classes-1. alpha, beta: ridge of annotator and item tilts. passes: most passes.
     max_driver_annotators: up to so many annotators their tilts go along with the tasks; beyond, they are joined to the votes.
@@ -81,11 +81,12 @@ class MinimaxConsensus:
     def __init__(self, classes: int = 2, *, alpha: float = 1.0, beta: float = 8.0, rounds: int = 3, passes: int = 10, tolerance: float = 0.02, max_driver_annotators: int = 100_000):
         self.k, self.alpha, self.beta, self.rounds, self.passes, self.tolerance, self.max_driver = classes, alpha, beta, rounds, passes, tolerance, max_driver_annotators
 
-    def _attach(self, items: DataFrame, tilts: np.ndarray | DataFrame) -> tuple[DataFrame, np.ndarray | None]:
+    def _attach(self, items: DataFrame, tilts: np.ndarray | DataFrame, hot: DataFrame | None) -> tuple[DataFrame, np.ndarray | None]:
         """Items with a column ``tilts`` per vote where the annotators are too many to send along."""
         if isinstance(tilts, np.ndarray):
             return items, tilts
-        votes = items.select("id", F.explode(F.arrays_zip("ann", "x")).alias("v")).select("id", "v.ann", "v.x").join(tilts, "ann")
+        votes = items.select("id", F.explode(F.arrays_zip("ann", "x")).alias("v")).select("id", "v.ann", "v.x")
+        votes = lookup(votes, tilts, "ann", hot)
         return votes.groupBy("id").agg(F.collect_list("ann").alias("ann"), F.collect_list("x").alias("x"), F.flatten(F.collect_list("tilt")).alias("tilts")), None
 
     def _batches(self, batches: Iterator[pa.RecordBatch], tilts: np.ndarray | None, first: bool):
@@ -109,11 +110,12 @@ class MinimaxConsensus:
         """(items, annotators) of ``votes`` (id, annotator, label).
 
         items: ``id, label, confidence, n_votes, agreement``, agreement the share of pairs of its votes that agree (null for
-        one vote). Equal posteriors go to the smaller label. annotators: ``annotator, n_votes, reliability, tilt``,
-        reliability the expected share of right labels. No votes give empty tables.
+        one vote). Equal posteriors go to the smaller label. annotators: ``annotator, n_votes, reliability, tilt, converged``,
+        reliability the expected share of right labels; converged: did no tilt move by ``tolerance`` in the last pass, else
+        ``passes`` ended the fit. No votes give empty tables.
         """
         k, spark = self.k, votes.sparkSession
-        votes = cut(votes)
+        votes, hot = cut(votes), None
         names = votes.groupBy("annotator").count()
         few = names.limit(self.max_driver + 1).count() <= self.max_driver
         if few:
@@ -122,11 +124,12 @@ class MinimaxConsensus:
             tilts: np.ndarray | DataFrame = np.zeros((len(listed), k, k))
         else:
             names = cut(names.select("annotator", F.xxhash64("annotator").alias("ann")))
+            hot = frequent(votes.select(F.xxhash64("annotator").alias("ann")), "ann", 1000)
             tilts = names.select("ann", F.array_repeat(F.lit(0.0), k * k).alias("tilt"))
         index = F.broadcast(names) if few else names
         items = cut(votes.join(index, "annotator").groupBy("id").agg(F.collect_list("ann").alias("ann"), F.collect_list(F.col("label").cast("int")).alias("x")))
         for step in range(self.passes):
-            moved = self._sums(items, tilts, first=step == 0)
+            moved = self._sums(items, tilts, hot, first=step == 0)
             if few:
                 got = moved.collect()
                 new = np.array(tilts)
@@ -135,17 +138,18 @@ class MinimaxConsensus:
                 change = float(np.abs(new - tilts).max()) if new.size else 0.0
                 tilts = new
             else:
-                step_of = F.udf(lambda t, g, h: _tilt(np.array(t), np.array(g), np.array(h), self.alpha).tolist(), "array<double>")
                 before = tilts
-                tilts = cut(before.join(moved, "ann").select("ann", step_of("tilt", "grad", "hess").alias("tilt")))
+                step_of = F.transform(F.arrays_zip("tilt", "grad", "hess"), lambda v: F.greatest(F.lit(-8.0), F.least(F.lit(8.0), v["tilt"] + (v["grad"] - self.alpha * v["tilt"]) / (2 * v["hess"] + self.alpha))))
+                tilts = cut(before.join(moved, "ann").select("ann", step_of.alias("tilt")))
                 both = before.select("ann", F.col("tilt").alias("was")).join(tilts, "ann")
                 change = both.select(F.max(F.array_max(F.zip_with("was", "tilt", lambda a, b: F.abs(a - b))))).first()[0] or 0.0
             if step and change < self.tolerance:
                 break
-        return self._labels(items, tilts), self._reliability(items, tilts, names, few)
+        self.steps, self.converged = step + 1, change < self.tolerance
+        return self._labels(items, tilts, hot), self._reliability(items, tilts, hot, names, few).withColumn("converged", F.lit(self.converged))
 
-    def _sums(self, items: DataFrame, tilts, first: bool) -> DataFrame:
-        attached, sent = self._attach(items, tilts)
+    def _sums(self, items: DataFrame, tilts, hot: DataFrame | None, first: bool) -> DataFrame:
+        attached, sent = self._attach(items, tilts, hot)
         k = self.k
 
         def run(batches):
@@ -167,8 +171,8 @@ class MinimaxConsensus:
         wide = parts.select("ann", *[F.col("v")[i].alias(f"v{i}") for i in range(2 * k * k)]).groupBy("ann").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(2 * k * k)])
         return wide.select("ann", F.array(*[f"v{i}" for i in range(k * k)]).alias("grad"), F.array(*[f"v{i}" for i in range(k * k, 2 * k * k)]).alias("hess"))
 
-    def _labels(self, items: DataFrame, tilts) -> DataFrame:
-        attached, sent = self._attach(items, tilts)
+    def _labels(self, items: DataFrame, tilts, hot: DataFrame | None) -> DataFrame:
+        attached, sent = self._attach(items, tilts, hot)
 
         def run(batches):
             for b, item, _, x, q, _p in self._batches(batches, sent, False):
@@ -184,8 +188,8 @@ class MinimaxConsensus:
         kind = dict(items.dtypes)["id"]
         return attached.mapInArrow(run, f"id {kind}, label int, confidence double, n_votes long, agreement double")
 
-    def _reliability(self, items: DataFrame, tilts, names: DataFrame, few: bool) -> DataFrame:
-        attached, sent = self._attach(items, tilts)
+    def _reliability(self, items: DataFrame, tilts, hot: DataFrame | None, names: DataFrame, few: bool) -> DataFrame:
+        attached, sent = self._attach(items, tilts, hot)
 
         def run(batches):
             for _, item, ann, x, q, _p in self._batches(batches, sent, False):
