@@ -185,6 +185,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return SourceMixer().mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return SourceMixer().schedule(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 # 10. Per-document text quality statistics
 
 

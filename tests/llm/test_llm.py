@@ -314,3 +314,23 @@ def test_short_and_ideographic_stretches_stay():
     parts = language.stretches("Who pays the fee? Kyun. The office pays the fee.")
     assert "".join(w.replace(" ", "") for _, w in parts) == "Whopaysthefee?Kyun.Theofficepaysthefee."
     assert language.Grams(["\U00020000\U00020001"]).letters[0, 4] == 2
+
+
+def test_mixing_points_do_not_overflow(spark):
+    first = 4_000_000_000_000
+    got = [r["u"] for r in mixing.points(spark, 3, first).orderBy("i").collect()]
+    assert got == [i * 2783377641436327 % (1 << 52) for i in range(first, first + 3)]
+
+
+def test_mixing_schedule_and_shares(spark):
+    docs = spark.createDataFrame([(i, f"words of the office number {i} and more of them", "a" if i % 3 else "b") for i in range(600)] + [(9000 + i, "words of the office number 1 and more of them", "c") for i in range(20)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 3), ("none", 0.5, 1)], "source string, target_share double, max_repeats int")
+    used, shares = mixing.SourceMixer().mix(docs, targets)
+    reached = {r["source"]: (r["reached_share"], r["most_repeats"]) for r in shares.collect()}
+    assert abs(reached["b"][0] - 0.7) < 0.01 and reached["b"][1] == 3 and reached["c"] == (0.0, 0) and reached["none"] == (0.0, 0)
+    rows = mixing.SourceMixer().schedule(docs, targets)
+    assert rows.groupBy("doc_id").count().join(used, "doc_id").where("count <> repeats").count() == 0 and rows.count() == used.groupBy().sum("repeats").first()[0]
+    half = rows.orderBy("slot").limit(rows.count() // 2).where("source = 'b'").count() / (rows.count() // 2)
+    assert abs(half - 0.7) < 0.03
+    small = mixing.SourceMixer().mix(docs.limit(6), targets)[0]
+    assert small.count() > 0
