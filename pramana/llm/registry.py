@@ -17,7 +17,7 @@ from pramana.llm.overlap import SplitOverlap
 from pramana.llm.pairs import PairChecker
 from pramana.llm.quality import document_statistics, sketches, verdicts
 from pramana.llm.rank_fusion import normal_score_ranking
-from pramana.llm.sentences import HiddenEventModel, sentence_units, train
+from pramana.llm.sentences import sentence_units, train
 from pramana.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,12 +120,9 @@ def unique_passages(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("passage_id").agg(F.max(F.struct("doc_id", "lang", "text")).alias("v")).select("passage_id", "v.*")
 
 
-def sentence_model(spark: SparkSession, d: str) -> HiddenEventModel:
-    return train(table(spark, d, "passages"))
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentence_units(unique_passages(spark, d), sentence_model(spark, d))
+    passages = cut(unique_passages(spark, d))
+    return sentence_units(passages, train(passages))
 
 
 # 6. One ranking from several differently-scaled scores
@@ -145,8 +142,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_units(spark: SparkSession, d: str) -> DataFrame:
     """The sentence units of English (side 0) and Hindi (side 1) documents, by stem."""
     docs = table(spark, d, "source_docs").where("doc_id is not null").groupBy("doc_id").agg(F.max(language_name(F.col("lang"))).alias("named"))
-    passages = unique_passages(spark, d).join(docs, "doc_id", "left").withColumn("language", F.coalesce("named", "lang")).where("language in ('en', 'hi')")
-    units = sentence_units(passages.select("passage_id", "text"), sentence_model(spark, d), with_text=True)
+    unique = cut(unique_passages(spark, d))
+    passages = unique.join(docs, "doc_id", "left").withColumn("language", F.coalesce("named", "lang")).where("language in ('en', 'hi')")
+    units = sentence_units(passages.select("passage_id", "text"), train(unique), with_text=True)
     stems = passages.select("passage_id", F.regexp_replace("doc_id", "-[A-Za-z]+$", "").alias("stem"), F.when(F.col("language") == "en", 0).otherwise(1).alias("side"))
     return units.join(stems, "passage_id")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -11,20 +13,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pramana.llm.overlap import fold
+from pramana.session import cut
 
 BULLET = regex.compile(r"[ \t ]*[-*•–—▪◦‣·●○■□]+[ \t ]+")
 _ENDS = ".?!।॥|。！？｡…؟۔"
 _CLOSE = "\"'”’)]}»」』】）"
 _OPEN = "\"'“‘([{«「『【（"
 _PAIRS = {"“": "”", "‘": "’", "(": ")", "[": "]", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】", '"': '"'}
+_OPENING = regex.compile("[" + regex.escape("".join(_PAIRS)) + "]")
 #: A unit is a run without white space; it ends after closing marks too where a letter, a digit or an opening mark follows at once.
 _UNIT = regex.compile(rf"[{regex.escape('.?!।॥|…؟۔')}。！？｡]+[{regex.escape(_CLOSE)}]*|(?:(?![.?!।॥|…؟۔。！？｡\s])\X)+")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.,:/'’-][\p{L}\p{M}\p{N}]+)*")
+_FINAL = regex.compile(rf"([{regex.escape(_ENDS)}]+)[{regex.escape(_CLOSE)}]*$")
+_MARKED = regex.compile(rf"[{regex.escape(_ENDS)}]")
+_SAYS = regex.compile(r"[\p{L}\p{N}]")
+#: Finds the last word before a place.
+_BACK = regex.compile(_WORD.pattern, regex.REVERSE)
+_SOLID = regex.compile(r"\S")
+_TAIL = regex.compile(r"\S", regex.REVERSE)
 #: A single letter of a script with case; elsewhere single letters are words too.
 _INITIAL = regex.compile(r"[\p{Lu}\p{Ll}]\p{M}*")
 _HAN = regex.compile(r"\p{Han}|\p{Hiragana}|\p{Katakana}|\p{Thai}|\p{Lao}|\p{Khmer}|\p{Myanmar}")
-#: Longer runs of words without any closing mark are taken for unpunctuated text: any gap may be a boundary there.
-UNPUNCTUATED = 40
+#: What stands between two places where a sentence may end without a mark: a word, or one character of a script without spaces.
+_STEP = regex.compile(rf"(?:{_HAN.pattern})\p{{M}}*|(?:(?!{_HAN.pattern})\S)+")
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -57,56 +68,73 @@ class Gap:
         self.at, self.left, self.mark, self.right, self.shape, self.units = at, left, mark, right, shape, units
 
 
-def _left(before: str) -> str:
-    words = _WORD.findall(before[-60:])
-    if not words:
-        return "<none>"
-    w = words[-1]
+@lru_cache(maxsize=200_000)
+def _left_word(w: str) -> str:
     if not w[-1].isdigit():  # a missing space joins sentences
         w = w.rpartition(".")[2] or w
     if w[-1].isdigit():
         return "<num>"
-    return "<ini>" if _INITIAL.fullmatch(w) and not _HAN.match(w) else fold(w) if not _HAN.match(w[-1]) else w[-1]
+    if _HAN.match(w[-1]):  # two characters where there are two
+        return w[-2:] if len(w) > 1 and _HAN.match(w[-2]) else w[-1]
+    return "<ini>" if _INITIAL.fullmatch(w) else fold(w)
 
 
-def _right(after: str) -> tuple[str, str]:
-    lead = after.lstrip(_OPEN)
-    quoted = len(lead) < len(after)
-    m = _WORD.match(lead)
-    if not m:
-        return "<other>", "other"
-    w = m[0]
+def _left(block: str, end: int) -> str:
+    """The last word of ``block`` before ``end``."""
+    m = _BACK.search(block, 0, end)
+    return _left_word(m[0]) if m else "<none>"
+
+
+@lru_cache(maxsize=200_000)
+def _right_word(w: str, quoted: bool, stop: bool) -> tuple[str, str]:
     if w[0].isdigit():
         return "<num>", "num"
     if _HAN.match(w):
-        return w[0], "quote" if quoted else "caseless"
+        return w[:2] if len(w) > 1 and _HAN.match(w[1]) else w[0], "quote" if quoted else "caseless"
     shape = "quote" if quoted else "upper" if w[0].isupper() else "lower" if w[0].islower() else "caseless"
-    return ("<ini>" if _INITIAL.fullmatch(w) and lead[m.end() : m.end() + 1] == "." else fold(w)), shape
+    return ("<ini>" if stop and _INITIAL.fullmatch(w) else fold(w)), shape
+
+
+def _right(block: str, at: int) -> tuple[str, str]:
+    """(word, shape) of what stands at ``at``."""
+    first = at
+    while at < len(block) and block[at] in _OPEN:
+        at += 1
+    if _HAN.match(block, at):  # of a run without spaces two characters tell
+        return _right_word(block[at : at + 2], at > first, False)
+    m = _WORD.match(block, at)
+    return _right_word(m[0], at > first, block[m.end() : m.end() + 1] == ".") if m else ("<other>", "other")
+
+
+def _closed(block: str) -> list[tuple[int, int]]:
+    """(start, end) of quotations and brackets that are closed again in the block, the outermost ones."""
+    spans: list[tuple[int, int]] = []
+    never: set[str] = set()
+    at = 0
+    for m in _OPENING.finditer(block):
+        c = m[0]
+        # An apostrophe-like mark inside a word opens nothing.
+        if m.start() < at or _PAIRS[c] in never or (c == '"' and m.start() and block[m.start() - 1].isalnum()):
+            continue
+        close = block.find(_PAIRS[c], m.end())
+        if close < 0:
+            never.add(_PAIRS[c])
+        else:
+            spans.append((m.start(), close))
+            at = close + 1
+    return spans
 
 
-def gaps(text: str, start: int, end: int) -> list[Gap]:
+def gaps(text: str, start: int, end: int, unmarked: bool = False) -> list[Gap]:
     """The places in a block where a sentence may end: after a closing mark, outside quotation marks and brackets that are closed again in the block.
 
-    A block with more words than UNPUNCTUATED and no closing mark has one between any two words.
+    With ``unmarked`` also those between any two words, or characters of a script without spaces, without a mark: there ``mark`` is empty.
     """
     block = text[start:end]
-    closes: dict[int, int] = {}
-    at = 0
-    while at < len(block):
-        c = block[at]
-        mate = _PAIRS.get(c)
-        # An apostrophe-like mark inside a word opens nothing.
-        if mate and not (c == '"' and at and block[at - 1].isalnum()):
-            close = block.find(mate, at + 1)
-            if 0 < close - at <= 600:
-                closes[at] = close
-                at = close
-        at += 1
-    spans = sorted(closes.items())
+    spans = _closed(block)
     out: list[Gap] = []
-    units, k, marks = 0, 0, 0
-    found = list(_UNIT.finditer(block))
-    for i, m in enumerate(found):
+    units, k, stretch = 0, 0, 0
+    for m in _UNIT.finditer(block):
         if m[0][0] not in _ENDS:
             units += max(1, len(_HAN.findall(m[0])))
             continue
@@ -115,33 +143,57 @@ def gaps(text: str, start: int, end: int) -> list[Gap]:
             k += 1
         if k < len(spans) and spans[k][0] < m.start() and m.end() - 1 < spans[k][1]:
             continue
-        marks += 1
-        rest = block[e:]
-        gone = len(rest) - len(rest.lstrip())
-        if e + gone >= len(block):
+        follows = _SOLID.search(block, e)
+        if not follows:
             break
-        nxt = block[e + gone]
+        at = follows.start()
+        nxt = block[at]
         if nxt in _ENDS or nxt in ",;:)]}" or nxt in "”’」』）】":
             continue
         mark = m[0].rstrip(_CLOSE)[-1:] or "."
-        if not gone and mark in ".|…" and (nxt.isdigit() and block[m.start() - 1 : m.start()].isdigit() or not (nxt.isalpha() or nxt in _OPEN)):
+        if at == e and mark in ".|…" and (nxt.isdigit() and block[m.start() - 1 : m.start()].isdigit() or not (nxt.isalpha() or nxt in _OPEN)):
             continue
-        if mark == "|" and not regex.search(r"[\p{Devanagari}\p{Bengali}\p{N})\"”]\s*$", block[max(0, m.start() - 4) : m.start()]):
+        if mark == "|":
+            before = _TAIL.search(block, 0, m.start())
+            if not before or not regex.match(r"[\p{Devanagari}\p{Bengali}\p{N})\"”]", before[0]):
+                continue
+        right, shape = _right(block, at)
+        kind = {"|": "।", "॥": "।", "．": ".", "｡": "。"}.get(mark, mark) + ("q" if m[0][-1] in _CLOSE else "") + ("_" if at == e else "")
+        if unmarked:
+            out += _between(block, start, stretch, m.start(), spans)
+        out.append(Gap(start + at, _left(block, m.start()), kind, right, shape, units))
+        units, stretch = 0, at
+    if unmarked:
+        out += _between(block, start, stretch, len(block), spans)
+    return out
+
+
+def _between(block: str, start: int, first: int, last: int, spans: list[tuple[int, int]]) -> list[Gap]:
+    """The gaps between the words from ``first`` to ``last``, none of which ends with a mark."""
+    out: list[Gap] = []
+    k = end = 0
+    before = None
+    for m in _STEP.finditer(block, first, last):
+        if not _SAYS.search(m[0]):
             continue
-        right, shape = _right(block[e + gone : e + gone + 60])
-        kind = {"|": "।", "॥": "।", "．": ".", "｡": "。"}.get(mark, mark) + ("q" if m[0][-1] in _CLOSE else "") + ("" if gone else "_")
-        out.append(Gap(start + e + gone, _left(block[max(0, m.start() - 60) : m.start()]), kind, right, shape, units))
-        units = 0
-    if not marks and units > UNPUNCTUATED:
-        words = [m for m in regex.finditer(r"\S+", block)]
-        if len(words) == 1 or _HAN.search(block):
-            words = list(regex.finditer(r"\X", block))
-        for a, b in zip(words, words[1:]):
-            right, shape = _right(block[b.start() : b.start() + 60])
-            out.append(Gap(start + b.start(), _left(block[: a.end()][-60:]), "", right, shape, 1))
+        at = m.start()
+        while k < len(spans) and spans[k][1] < at:
+            k += 1
+        inside = k < len(spans) and spans[k][0] < at
+        if before is not None and not inside and before[-1] not in ",;:-–—/" and m[0][0] not in _CLOSE + ",;:-–—/&+":
+            right, shape = _right(block, at)
+            out.append(Gap(start + at, _left_step(block, before, end), "", right, shape, 1))
+        before, end = m[0], m.end()
     return out
 
 
+def _left_step(block: str, step: str, end: int) -> str:
+    """What a step that ends at ``end`` is as a left side."""
+    if _HAN.match(step):
+        return _left_word(block[max(0, end - 2) : end])
+    return _left_word(w[0]) if (w := _BACK.search(step)) else "<none>"
+
+
 def _logit(p: float) -> float:
     p = min(max(p, 1e-4), 1 - 1e-4)
     return math.log(p / (1 - p))
@@ -151,11 +203,12 @@ class HiddenEventModel:
     """P(event | left word and mark), and how much likelier the right word is after an event than inside a sentence.
 
     event: by (left, mark), by_mark for unseen left words; right: log ratios by (word, shape), shapes for unseen words; ends:
-    the share of a word's occurrences that end a sentence, for text without marks; short: weight of a sentence of one unit.
+    the share of a word's occurrences that end a sentence, for gaps without marks; short: weight of a sentence of one unit;
+    bare: the prior that a stretch between marks is written without marks, in a block without any mark and in one with marks.
     """
 
-    def __init__(self, event: dict[tuple[str, str], float], by_mark: dict[str, float], right: dict[tuple[str, str], float], shapes: dict[str, float], ends: dict[str, float], short: float):
-        self.event, self.by_mark, self.right, self.shapes, self.ends, self.short = event, by_mark, right, shapes, ends, short
+    def __init__(self, event: dict[tuple[str, str], float], by_mark: dict[str, float], right: dict[tuple[str, str], float], shapes: dict[str, float], ends: dict[str, float], short: float, bare: tuple[float, float] = (0.05, 0.00002)):
+        self.event, self.by_mark, self.right, self.shapes, self.ends, self.short, self.bare = event, by_mark, right, shapes, ends, short, bare
 
     def log_odds(self, g: Gap) -> float:
         """Log odds of an event at the gap for what stands on both sides of it."""
@@ -164,7 +217,7 @@ class HiddenEventModel:
             if p is None:
                 p = self.by_mark.get(g.mark, 0.3 if "q" in g.mark else self.by_mark.get(g.mark[:1], 0.5 if g.mark[0] == "." else 0.95))
         else:
-            p = self.ends.get(g.left, 1e-3)
+            p = self.ends.get(g.left, self.ends.get("", 1e-3))
         right = self.right.get((g.right, g.shape))
         if right is None:
             right = self.shapes.get(g.shape, 0.0)
@@ -172,21 +225,21 @@ class HiddenEventModel:
         bound = 3.0 if "q" in g.mark else 6.0 if g.mark[:1] in (".", "") else 2.0
         return _logit(p) + max(-bound, min(bound, right))
 
-    def boundaries(self, found: list[Gap]) -> list[tuple[Gap, float]]:
-        """Each gap's posterior of an event, by forward-backward over the chain in which events after a single unit are rare."""
+    def _chain(self, found: list[Gap]) -> tuple[list[float], float]:
+        """(posterior of an event at each gap, log of the sum over all ways to place events, of weight 0 for none), by forward-backward over
+        the chain in which events after a single unit are rare."""
         n = len(found)
-        if not n:
-            return []
         odds = [math.exp(max(-30.0, min(30.0, self.log_odds(g)))) for g in found]
         stay = [self.short if g.units <= 1 else 1.0 for g in found]
         # state: was there an event at the gap before? a: forward sums for (none, event), scaled.
         forward: list[tuple[float, float]] = []
-        a0, a1 = 0.0, 1.0
+        a0, a1, total = 0.0, 1.0, 0.0
         for o, s in zip(odds, stay):
             b0 = a0 + a1
             b1 = a0 * o + a1 * o * s
             z = b0 + b1
             a0, a1 = b0 / z, b1 / z
+            total += math.log(z)
             forward.append((a0, a1))
         c0 = c1 = 1.0
         post = [0.0] * n
@@ -197,18 +250,40 @@ class HiddenEventModel:
             d0, d1 = c0 + o * c1, c0 + o * s * c1
             z = d0 + d1
             c0, c1 = d0 / z, d1 / z
-        return list(zip(found, post))
+        return post, total
+
+    def boundaries(self, found: list[Gap]) -> list[tuple[Gap, float]]:
+        """Each gap's posterior of an event.
+
+        Gaps at marks are one chain. The gaps of a stretch between marks are another, whose posterior is that of the stretch being written
+        without marks at all times that of an event if it is: the more the words look like several sentences, the surer is the former.
+        """
+        marked = [g for g in found if g.mark]
+        out = list(zip(marked, self._chain(marked)[0])) if marked else []
+        prior = self.bare[bool(marked)]
+        stretch: list[Gap] = []
+        for g in [*found, None]:
+            if g is not None and not g.mark:
+                stretch.append(g)
+            elif stretch:
+                post, total = self._chain(stretch)
+                # The odds that marks are left out: of the prior and of all ways to place events against none.
+                x = _logit(prior) + total
+                bare = 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+                out += [(b, p * bare) for b, p in zip(stretch, post)]
+                stretch = []
+        return sorted(out, key=lambda v: v[0].at)
 
     def starts(self, text: str | None) -> list[int]:
         """Where the units of the text start, in code points."""
         out: list[int] = []
         for start, end, bullet in blocks(text or ""):
             # Marks alone are no unit.
-            if not regex.search(r"[\p{L}\p{N}]", text[start:end]):
+            if not _SAYS.search(text, start, end):
                 continue
             out.append(start)
             if not bullet:
-                out += [g.at for g, p in self.boundaries(gaps(text, start, end)) if p > 0.5]
+                out += [g.at for g, p in self.boundaries(gaps(text, start, end, unmarked=True)) if p > 0.5]
         return out
 
     def split(self, text: str | None) -> list[tuple[int, str]]:
@@ -227,52 +302,63 @@ class HiddenEventModel:
         return out
 
 
-def train(texts: DataFrame, *, text_col: str = "text", rounds: int = 6) -> HiddenEventModel:
-    """The model of all different unlabelled texts. The driver gets counts only: a row for each different word, and each pair of words at a mark.
+def train(texts: DataFrame, *, text_col: str = "text", rounds: int = 6, rate: float = 1e-6) -> HiddenEventModel:
+    """The model of all unlabelled texts; fold repeated rows before, as each counts.
 
     Ends and starts of blocks are sure events and words inside a run without a closing mark are sure non-events; the gaps after
     a mark between are hidden and counted by expectation maximization. A left side first has an event as often as block ends
-    show it to end a sentence, so abbreviations start out with none.
+    show it to end a sentence, so abbreviations start out with none. Counting is one pass with partial sums. Words below ``rate`` of
+    a kind of counts are counted together as rare ones, so that the driver and the model have at most 1 / rate rows of each kind, whatever the data.
     """
-    different = texts.where(F.col(text_col).isNotNull() & (F.trim(text_col) != "")).select(F.col(text_col).alias("t")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, ...], int] = {}
+        seen: Counter = Counter()
 
         def counts() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], pa.string()) for i in range(5)] + [pa.array(seen.values(), pa.int64())], ["kind", "a", "b", "c", "d", "n"])
-
-        def add(*key: str) -> None:
-            seen[key] = seen.get(key, 0) + 1
+            keys = list(zip(*seen)) or [()] * 5
+            return pa.RecordBatch.from_arrays([*[pa.array(k, pa.string()) for k in keys], pa.array(seen.values(), pa.int64())], ["kind", "a", "b", "c", "d", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 for start, end, bullet in blocks(t):
-                    right, shape = _right(t[start : start + 60])
-                    add("start", right, shape, "", "")
                     block = t[start:end]
-                    m = regex.search(rf"([{regex.escape(_ENDS)}]+)[{regex.escape(_CLOSE)}]*$", block)
+                    seen[("start", *_right(block, 0), "", "")] += 1
+                    m = _FINAL.search(block)
+                    last = _left(block, m.start() if m else len(block))
                     if m:
-                        q = "q" if block[-1] in _CLOSE else ""
-                        add("end", _left(block[max(0, m.start() - 60) : m.start()]), {"|": "।", "॥": "।"}.get(m[1][-1], m[1][-1]) + q, "", "")
-                    add("stop", _left(block[:end][-60:] if not m else block[max(0, m.start() - 60) : m.start()]), "", "", "")
+                        seen["end", last, {"|": "।", "॥": "।"}.get(m[1][-1], m[1][-1]) + ("q" if block[-1] in _CLOSE else ""), "", ""] += 1
+                    seen["stop", last, "", "", ""] += 1
                     if not bullet:
-                        for g in gaps(t, start, end):
-                            if g.mark:
-                                add("gap", g.left, g.mark, g.right, g.shape)
-                    words = list(_WORD.finditer(block))
-                    for a, c in zip(words, words[1:]):
-                        between = block[a.end() : c.start()]
-                        if not any(x in _ENDS for x in between):
-                            r, s = _right(block[c.start() : c.start() + 60])
-                            add("inside", r, s, "", "")
-                            add("word", _left(a[0]), "", "", "")
-            if len(seen) > 200_000:  # a task's memory doesn't grow with its texts
-                yield counts()
-                seen.clear()
-        yield counts()
-
-    counted = different.mapInArrow(run, "kind string, a string, b string, c string, d string, n long").groupBy("kind", "a", "b", "c", "d").agg(F.sum("n").alias("n")).toArrow()
+                        seen.update(("gap", g.left, g.mark, g.right, g.shape) for g in gaps(t, start, end))
+                    before = None
+                    if _HAN.search(block):
+                        for w in _STEP.finditer(block):
+                            if before is not None and not _MARKED.search(block, before.start(), w.end()):
+                                seen[("inside", *_right(block, w.start()), "", "")] += 1
+                                seen["word", _left_step(block, before[0], before.end()), "", "", ""] += 1
+                            before = w
+                        continue
+                    for w in _WORD.finditer(block):
+                        if before is not None and not _MARKED.search(block, before.end(), w.start()):
+                            quoted = w.start() > 0 and block[w.start() - 1] in _OPEN
+                            seen[("inside", *_right_word(w[0], quoted, block[w.end() : w.end() + 1] == "."), "", "")] += 1
+                            seen["word", _left_word(before[0]), "", "", ""] += 1
+                        before = w
+                if len(seen) > 200_000:  # a task's memory doesn't grow with its texts
+                    yield counts()
+                    seen.clear()
+        if seen:
+            yield counts()
+
+    keys = ["kind", "a", "b", "c", "d"]
+    real = texts.where(F.col(text_col).isNotNull() & (F.trim(text_col) != "")).select(F.col(text_col).alias("t"))
+    sums = cut(real.mapInArrow(run, "kind string, a string, b string, c string, d string, n long").groupBy(*keys).agg(F.sum("n").alias("n")))
+    least = {r["kind"]: r["n"] * rate for r in sums.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    rare = F.lit(False)
+    for kind, bound in least.items():
+        rare |= (F.col("kind") == kind) & (F.col("n") < bound)
+    named = [F.when(rare, "<rare>").otherwise(F.col("a")).alias("a"), "b", F.when(rare & (F.col("kind") == "gap"), "<rare>").otherwise(F.col("c")).alias("c"), "d"]
+    counted = sums.select("kind", *named, "n").groupBy(*keys).agg(F.sum("n").alias("n")).toArrow()
     start: dict[tuple[str, str], float] = {}
     inside: dict[tuple[str, str], float] = {}
     end: dict[tuple[str, str], float] = {}
@@ -292,7 +378,8 @@ def train(texts: DataFrame, *, text_col: str = "text", rounds: int = 6) -> Hidde
             word[r["a"]] = r["n"]
         else:
             hidden.append((r["a"], r["b"], r["c"], r["d"], r["n"]))
-    return _maximize(start, inside, end, stop, word, hidden, rounds)
+    # In one order, so that sums don't depend on partitions.
+    return _maximize(start, inside, end, stop, word, sorted(hidden), rounds)
 
 
 def _maximize(start, inside, end, stop, word, hidden, rounds: int) -> HiddenEventModel:
@@ -345,7 +432,13 @@ def _maximize(start, inside, end, stop, word, hidden, rounds: int) -> HiddenEven
         # What often stands before a mark and never ends a block is an abbreviation, or a quotation within a sentence.
         event = {k: prior[k] if left[k] >= 20 and not closing.get(k[0]) and (k[1][0] == "." or "q" in k[1]) else (sums[k] + 4 * (1 + left[k]) * prior[k]) / (left[k] + 4 * (1 + left[k])) for k in left}
         by_mark = {m: v[0] / v[1] for m, v in marks.items()}
-    finals = {w: n / (n + word.get(w, 0) + 1) for w, n in stop.items()}
+    # Of all occurrences of a word, the share that ends a sentence; of a rare word as of all words together.
+    final, times = dict(stop), {w: n + word.get(w, 0) for w, n in stop.items()} | {w: n for w, n in word.items() if w not in stop}
+    for (a, mark), v in sums.items() if hidden and rounds else ():
+        final[a] = final.get(a, 0) + v
+        times[a] = times.get(a, 0) + left[a, mark]
+    base = (sum(final.values()) + 0.01) / (sum(times.values()) + 1)
+    finals = {w: (final.get(w, 0) + 2 * base) / (n + 2) for w, n in times.items()} | {"": base}
     return HiddenEventModel(event, by_mark, right, shapes, finals, 0.05)
 
 
@@ -353,7 +446,7 @@ def sentence_units(df: DataFrame, model: HiddenEventModel, *, id_col: str = "pas
     """``id_col, start_pos`` (and ``unit``) of each sentence unit; texts that are null, blank or without letters and digits have none."""
     kind = dict(df.dtypes)[id_col]
     parts = model.__dict__
-    sent = df.sparkSession.sparkContext.broadcast(parts)  # a row for each different word and mark, as train() has on the driver
+    sent = df.sparkSession.sparkContext.broadcast(parts)  # as many rows as train() bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = HiddenEventModel(**sent.value)

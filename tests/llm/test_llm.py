@@ -188,7 +188,7 @@ def test_units(model):
 def test_units_of_all_texts(spark):
     word = F.concat(F.lit("x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
     m = sentences.train(spark.range(20_500).select(word.alias("text")))
-    assert len(m.ends) == 20_500
+    assert len(m.ends) == 20_501  # and one for all other words
 
 
 def test_units_table(spark, model):
@@ -334,3 +334,29 @@ def test_mixing_schedule_and_shares(spark):
     assert abs(half - 0.7) < 0.03
     small = mixing.SourceMixer().mix(docs.limit(6), targets)[0]
     assert small.count() > 0
+
+
+def test_unpunctuated_text_is_divided_by_the_words(spark):
+    """Text without marks, short blocks and blocks with a mark elsewhere too; scripts with and without spaces."""
+    subjects = ["The village council", "The nodal bank", "Each family", "A widow", "The labour bureau", "Every weaver"]
+    verbs = ["pays the fee", "keeps the record", "receives the grant", "sends the form", "asks for a receipt"]
+    en = [f"{s} {v} in {y}" for s in subjects for v in verbs for y in (2001, 2004)]
+    zh = [f"{s}{v}" for s in ("该计划", "申请人", "村委会", "每个家庭") for v in ("应提交材料", "领取补助", "支付费用", "保存记录")]
+    rng = random.Random(3)
+    texts = [". ".join(rng.sample(en, 5)) + "." for _ in range(200)] + ["。".join(rng.sample(zh, 4)) + "。" for _ in range(200)]
+    model = sentences.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    hit = want = wrong = 0
+    for own, sep in ((en, " "), (zh, "")):
+        for mark in ("", "."):
+            for k in range(40):
+                parts = rng.sample(own, 4)
+                if mark:
+                    parts[0] += "." if sep else "。"
+                text = sep.join(parts)
+                starts = [sum(len(p) + len(sep) for p in parts[:i]) for i in range(4)]
+                got = model.starts(text)
+                hit, want, wrong = hit + len(set(got) & set(starts)), want + 4, wrong + len(set(got) - set(starts))
+    assert hit >= 0.9 * want and wrong <= 0.05 * want
+    assert model.starts(texts[0]) == [0] + [i + 2 for i, c in enumerate(texts[0][:-1]) if c == "."]
+    long = 'He wrote "' + "the fee is due. " * 60 + '" and left. Then he came back.'
+    assert len(model.starts(long)) == 2
