@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ _SOUNDS = dict(zip("कखगघङचछजझञटठडढणतथदधन
 _LATIN = [("ksh", "ks"), ("sh", "s"), ("chh", "c"), ("ch", "c"), ("ph", "f"), ("ck", "k"), ("tion", "sn"), ("x", "ks"), ("q", "k"), ("c", "k"), ("z", "j")]
 
 
+@lru_cache(maxsize=100_000)
 def skeleton(word: str) -> str:
     """The consonants a word sounds with, alike in Latin and Devanagari spelling; vowels, glides and breath are left out."""
     w = word
@@ -46,126 +48,185 @@ def tokens(unit: str) -> tuple[list[str], list[str], list[str]]:
     return words, numbers, sorted(b for b in bones if len(b) >= 3)
 
 
-def sinkhorn(cost: np.ndarray, a: np.ndarray, b: np.ndarray, null: float, epsilon: float, rounds: int) -> np.ndarray:
-    """The plan between masses a and b where any mass may stay unmatched at cost ``null``: a null row and column take it up."""
-    n, m = cost.shape
-    full = np.full((n + 1, m + 1), null)
-    full[:n, :m] = cost
-    full[n, m] = 0.0
-    k = np.exp(-full / epsilon)
-    rows, cols = np.append(a, b.sum()), np.append(b, a.sum())
-    u, v = np.ones(n + 1), np.ones(m + 1)
-    for _ in range(rounds):
+def sinkhorn(i: np.ndarray, j: np.ndarray, cost: np.ndarray, a: np.ndarray, b: np.ndarray, null: float, epsilon: float, rounds: int) -> np.ndarray:
+    """The plan at the places (i, j) of ``cost`` between masses a and b, where any mass may stay unmatched at cost ``null``: a null row and column take it up. Other places carry none."""
+    n, m = len(a), len(b)
+    k = np.exp(-cost / epsilon)
+    unmatched = math.exp(-null / epsilon)
+    spare_a, spare_b = b.sum(), a.sum()  # masses of the null row and column
+    u, v, u0, v0 = np.ones(n), np.ones(m), 1.0, 1.0
+    for step in range(rounds):
         was = u
-        u = rows / np.maximum(k @ v, 1e-300)
-        v = cols / np.maximum(k.T @ u, 1e-300)
-        if np.abs(np.log(u / was)).max() < 1e-3:
+        u = a / np.maximum(np.bincount(i, k * v[j], n) + unmatched * v0, 1e-300)
+        u0 = spare_a / max(unmatched * v.sum() + v0, 1e-300)
+        v = b / np.maximum(np.bincount(j, k * u[i], m) + unmatched * u0, 1e-300)
+        v0 = spare_b / max(unmatched * u.sum() + u0, 1e-300)
+        if step % 5 == 4 and np.abs(np.log(u / was)).max() < 1e-3:
             break
-    return (u[:, None] * k * v[None])[:n, :m]
+    return u[i] * k * v[j]
 
 
-class Unit:
-    __slots__ = ("key", "numbers", "bones", "features", "size")
+#: Rows of units compared at once; bounds memory for documents of any length.
+_ROWS = 512
 
-    def __init__(self, key, numbers: list[str], bones: list[str], features: dict[str, float], size: int):
-        self.key, self.numbers, self.bones, self.features, self.size = key, numbers, bones, features, size
+
+class Side:
+    """The units of one document in arrays: features as (unit, number of the feature, weight), of which each unit's vector is made."""
+
+    def __init__(self, keys: list[tuple[str, int]], sizes: list[int], unit: np.ndarray, feature: np.ndarray, weight: np.ndarray, numbers: list[frozenset[str]]):
+        self.keys, self.sizes, self.numbers = keys, np.array(sizes, float), numbers
+        n = len(keys)
+        norm = np.sqrt(np.bincount(unit, weight * weight, n))
+        order = np.argsort(unit, kind="stable")
+        self.unit, self.feature, self.weight = unit[order], feature[order], (weight / np.maximum(norm[unit], 1e-12))[order]
+        self.first = np.searchsorted(self.unit, np.arange(n + 1))
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def block(self, start: int, stop: int, known: np.ndarray) -> np.ndarray:
+        """Dense vectors of the units start .. stop over the features ``known`` (sorted)."""
+        part = slice(self.first[start], self.first[min(stop, len(self))])
+        at = np.minimum(np.searchsorted(known, self.feature[part]), max(len(known) - 1, 0))
+        out = np.zeros((min(stop, len(self)) - start, len(known)))
+        if len(known):
+            ok = known[at] == self.feature[part]
+            out[self.unit[part][ok] - start, at[ok]] = self.weight[part][ok]
+        return out
+
+    def features(self, start: int, stop: int) -> np.ndarray:
+        return np.unique(self.feature[self.first[start] : self.first[min(stop, len(self))]])
 
 
 class TransportAligner:
     """Pairs of units of two documents that say the same in whole or in part.
 
     A unit's vector has its words weighted by rarity (the second language's through a lexicon), its numbers and the sounds of
-    its words. The cost of a pair is 1 - cosine, more where both have numbers and none in common, or sounds of neither agree.
-    Masses are lengths relative to the language's mean. Units are linked where at least ``share`` of the smaller one's mass
-    goes from one to the other; so a unit may link to several, and one that is left out to none. Order doesn't count.
+    its words. The cost of a pair is 1 - cosine, beyond that of no match where both have numbers and none in common; pairs with a cosine below
+    ``least`` carry no mass. Masses are lengths relative to the language's mean. Units are linked where at least ``share`` of the smaller one's mass
+    goes from one to the other. The groups that links make are matches, merges, splits or both; a unit in no group is an
+    omission. Order doesn't count. Vectors are compared in blocks, so memory grows with the likely pairs only.
     """
 
-    def __init__(self, *, null: float = 0.62, epsilon: float = 0.04, rounds: int = 200, share: float = 0.25, least: float = 0.3, number_weight: float = 3.0, sound_weight: float = 1.5, clash: float = 0.4):
+    def __init__(self, *, null: float = 0.62, epsilon: float = 0.04, rounds: int = 200, share: float = 0.25, least: float = 0.3, number_weight: float = 3.0, sound_weight: float = 1.5, clash: float = 1.0):
         self.null, self.epsilon, self.rounds, self.share, self.least = null, epsilon, rounds, share, least
         self.number_weight, self.sound_weight, self.clash = number_weight, sound_weight, clash
 
-    def cosines(self, left: list[Unit], right: list[Unit], lexicon: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines, do both have numbers and none in common)."""
-        index: dict[str, int] = {}
-        sides = []
-        seen = Counter(b for u in left for b in set(u.bones)), Counter(b for u in right for b in set(u.bones))
-        for side in (left, right):
-            rows = []
-            for u in side:
-                own: dict[str, float] = {}
-                for x in set(u.numbers):
-                    own["n" + x] = self.number_weight * (1.0 if len(x) > 1 else 0.5)
-                for x in u.bones:
+    def sides(self, rows: tuple[list[dict], list[dict]], vocabulary: Vocabulary | None) -> tuple[Side, Side]:
+        """The units of both sides, with the features of their words if there is a vocabulary."""
+        seen = [Counter(b for r in side for b in r["bones"]) for side in rows]
+        names: dict[str, int] = {}
+        out = []
+        for which, side in enumerate(rows):
+            unit, feature, weight = [], [], []
+            words_u, words_f, words_w = [], [], []
+            for i, r in enumerate(side):
+                for x in set(r["numbers"]):
+                    unit.append(i)
+                    feature.append(names.setdefault("n" + x, len(names)))
+                    weight.append(self.number_weight * (1.0 if len(x) > 1 else 0.5))
+                for x in r["bones"]:
                     # A sound that only one side has says nothing, one that many units have says little.
-                    if seen[0][x] and seen[1][x]:
-                        own["s" + x] = self.sound_weight / math.sqrt(max(seen[0][x], seen[1][x]))
-                if lexicon:
-                    for e, w in u.features.items():
-                        own["w" + e] = own.get("w" + e, 0) + w
-                rows.append({index.setdefault(f, len(index)): w for f, w in own.items()})
-            sides.append(rows)
-        x, y = (np.zeros((len(rows), len(index) + 1)) for rows in sides)
-        for matrix, rows in ((x, sides[0]), (y, sides[1])):
-            for i, r in enumerate(rows):
-                if r:
-                    matrix[i, list(r)] = list(r.values())
-                norm = np.linalg.norm(matrix[i])
-                if norm:
-                    matrix[i] /= norm
-        a, b = [set(u.numbers) for u in left], [set(u.numbers) for u in right]
-        apart = np.array([[bool(p) and bool(q) and not p & q for q in b] for p in a]).reshape(len(a), len(b))
-        return x @ y.T, apart
-
-    def links(self, left: list[Unit], right: list[Unit], lexicon: bool = True) -> list[tuple[int, int, float]]:
-        if not left or not right:
+                    if seen[1 - which][x]:
+                        unit.append(i)
+                        feature.append(names.setdefault("s" + x, len(names)))
+                        weight.append(self.sound_weight / math.sqrt(max(seen[0][x], seen[1][x])))
+                for w in set(r["words"]) if vocabulary else ():
+                    found = vocabulary[which].get(w)
+                    if found is not None:
+                        words_f.append(found[0])
+                        words_w.append(found[1])
+                        words_u.append(np.full(len(found[0]), i))
+            u, f, w = np.array(unit, np.int64), -1 - np.array(feature, np.int64), np.array(weight, float)
+            if words_u:
+                # Several words may stand for one feature: their weights add up.
+                wu, wf, ww = np.concatenate(words_u), np.concatenate(words_f), np.concatenate(words_w)
+                order = np.lexsort((wf, wu))
+                wu, wf, ww = wu[order], wf[order], ww[order]
+                starts = np.flatnonzero(np.r_[True, (wu[1:] != wu[:-1]) | (wf[1:] != wf[:-1])])
+                u, f, w = np.concatenate([u, wu[starts]]), np.concatenate([f, wf[starts]]), np.concatenate([w, np.add.reduceat(ww, starts)])
+            out.append(Side([(r["passage_id"], r["start_pos"]) for r in side], [len(r["words"]) + len(r["numbers"]) for r in side], u, f, w, [frozenset(r["numbers"]) for r in side]))
+        return out[0], out[1]
+
+    def likely(self, left: Side, right: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, cosine) of the pairs with a cosine of ``least`` at least and not only unlike numbers."""
+        found = []
+        for s in range(0, len(left), _ROWS):
+            fs = left.features(s, s + _ROWS)
+            for t in range(0, len(right), _ROWS):
+                known = np.intersect1d(fs, right.features(t, t + _ROWS), assume_unique=True)
+                cos = left.block(s, s + _ROWS, known) @ right.block(t, t + _ROWS, known).T
+                i, j = np.nonzero(cos >= self.least)
+                found.append((i + s, j + t, cos[i, j]))
+        i, j, cos = (np.concatenate(x) for x in zip(*found))
+        apart = np.fromiter((bool(left.numbers[x]) and bool(right.numbers[y]) and left.numbers[x].isdisjoint(right.numbers[y]) for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+        return i, j, cos - self.clash * apart
+
+    def links(self, left: Side, right: Side) -> list[tuple[int, int, float]]:
+        if not len(left) or not len(right):
             return []
-        cos, apart = self.cosines(left, right, lexicon)
-        cost = 1 - cos + self.clash * apart
-        means = [max(1e-9, sum(u.size for u in s) / len(s)) for s in (left, right)]
-        a, b = (np.array([max(0.3, u.size / mean) for u in s]) for s, mean in ((left, means[0]), (right, means[1])))
-        plan = sinkhorn(cost, a, b, self.null, self.epsilon, self.rounds)
-        weight = plan / np.minimum(a[:, None], b[None])
-        return [(int(i), int(j), float(weight[i, j])) for i, j in zip(*np.nonzero((weight >= self.share) & (cos >= self.least) & ~apart))]
-
-    def anchors(self, left: list[Unit], right: list[Unit]) -> list[tuple[int, int]]:
+        i, j, cos = self.likely(left, right)
+        a, b = (np.maximum(0.3, x.sizes / max(1e-9, x.sizes.mean())) for x in (left, right))
+        plan = sinkhorn(i, j, 1 - cos, a, b, self.null, self.epsilon, self.rounds)
+        weight = plan / np.minimum(a[i], b[j])
+        keep = weight >= self.share
+        return list(zip(i[keep].tolist(), j[keep].tolist(), weight[keep].tolist()))
+
+    def anchors(self, left: Side, right: Side) -> list[tuple[int, int]]:
         """Pairs that are each other's best by numbers and sounds alone."""
-        if not left or not right:
+        if not len(left) or not len(right):
             return []
-        cos, apart = self.cosines(left, right, lexicon=False)
-        cos = np.where(apart, 0, cos)
-        best, back = cos.argmax(1), cos.argmax(0)
-        return [(i, int(j)) for i, j in enumerate(best) if back[j] == i and cos[i, j] > 0.35]
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of one document pair after the other, of rows sorted by ``stem``."""
-    own: list[dict] = []
+        i, j, cos = self.likely(left, right)
+        order = np.lexsort((j, -cos, i))
+        i, j, cos = i[order], j[order], cos[order]
+        best = np.full(len(left), -1)
+        firsts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+        best[i[firsts]] = j[firsts]
+        order = np.lexsort((i, -cos, j))
+        k, m = j[order], i[order]
+        back = np.full(len(right), -1)
+        firsts2 = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
+        back[k[firsts2]] = m[firsts2]
+        return [(x, y) for x, y, c in zip(i[firsts].tolist(), j[firsts].tolist(), cos[firsts].tolist()) if back[y] == x and c > 0.35]
+
+
+def groups(n: int, m: int, links: list[tuple[int, int, float]]) -> list[str]:
+    """The kind of each link: match, split (one unit of the first side), merge (one of the second) or both."""
+    parent = list(range(n + m))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j, _ in links:
+        parent[root(i)] = root(n + j)
+    linked = {i for i, _, _ in links}, {n + j for _, j, _ in links}
+    count = [Counter(root(x) for x in side) for side in linked]
+    kinds = []
+    for i, _, _ in links:
+        a, b = count[0][root(i)], count[1][root(i)]
+        kinds.append("match" if a == b == 1 else "split" if a == 1 else "merge" if b == 1 else "both")
+    return kinds
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, tuple[list[dict], list[dict]]]]:
+    """(stem, units of both sides) of one document pair after the other, of rows sorted by ``stem``."""
+    stem, own = None, ([], [])
     for b in batches:
         for r in b.to_pylist():
-            if own and r["stem"] != own[0]["stem"]:
-                yield own
-                own = []
-            own.append(r)
-    if own:
-        yield own
+            if r["stem"] != stem:
+                if own[0] or own[1]:
+                    yield stem, own
+                stem, own = r["stem"], ([], [])
+            own[r["side"]].append(r)
+    if own[0] or own[1]:
+        yield stem, own
 
 
-#: For each side what a word stands for, with weights: as a Spark broadcast, or None where it comes with the rows.
-Vocabulary = tuple[dict[str, list[tuple[str, float]]], dict[str, list[tuple[str, float]]]]
-
-
-def _units(rows: list[dict], vocabulary: Vocabulary | None) -> tuple[list[Unit], list[Unit]]:
-    made: tuple[list[Unit], list[Unit]] = ([], [])
-    for r in rows:
-        if vocabulary is None:
-            features = {f["f"]: f["w"] for f in r.get("features") or []}
-        else:
-            features = {}
-            for w in set(r["words"]):
-                for f, x in vocabulary[r["side"]].get(w, ()):
-                    features[f] = features.get(f, 0.0) + x
-        made[r["side"]].append(Unit((r["passage_id"], r["start_pos"]), r["numbers"], r["bones"], features, len(r["words"]) + len(r["numbers"])))
-    return made
+#: For each side the features a word stands for, as numbers, and their weights.
+Vocabulary = tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[str, tuple[np.ndarray, np.ndarray]]]
 
 
 def tokenized(units: DataFrame) -> DataFrame:
@@ -193,21 +254,20 @@ def learn_lexicon(pairs: DataFrame, *, least: int = 2, dice: float = 0.08, width
     return top.select("h", "e", (F.col("d") / F.sum("d").over(of_h)).alias("p"))
 
 
-def _cooccurrences(ordered: DataFrame, aligner: TransportAligner, sent, lexicon: bool) -> DataFrame:
+def _cooccurrences(ordered: DataFrame, aligner: TransportAligner, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            rows = list(counts.items())
+            e, h, n = [k[0] for k in counts], [k[1] for k in counts], list(counts.values())
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], ["e", "h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(h, pa.string()), pa.array(n, pa.int64())], ["e", "h", "n"])
 
-        for rows in _grouped(batches):
-            left, right = _units(rows, sent.value if sent else None)
-            words = {(r["passage_id"], r["start_pos"]): set(r["words"]) for r in rows}
-            found = [(i, j) for i, j, w in aligner.links(left, right) if w > 0.5] if lexicon else aligner.anchors(left, right)
+        for _, rows in _grouped(batches):
+            sides = aligner.sides(rows, sent.value if sent else None)
+            found = [(i, j) for i, j, w in aligner.links(*sides) if w > 0.5] if sent else aligner.anchors(*sides)
             for i, j in found:
-                e, h = words[left[i].key], words[right[j].key]
+                e, h = set(rows[0][i]["words"]), set(rows[1][j]["words"])
                 counts.update((x, y) for x in e for y in h)
                 counts.update((x, None) for x in e)
                 counts.update((None, y) for y in h)
@@ -218,51 +278,50 @@ def _cooccurrences(ordered: DataFrame, aligner: TransportAligner, sent, lexicon:
     return ordered.mapInArrow(run, "e string, h string, n long")
 
 
-def align(units: DataFrame, aligner: TransportAligner | None = None, *, max_sent: int = 500_000) -> DataFrame:
-    """``stem, passage_id, start_pos, other_passage_id, other_start_pos, share`` of linked units of ``units`` (stem, side, passage_id, start_pos, unit).
+def align(units: DataFrame, aligner: TransportAligner | None = None, *, rate: float = 1e-6, omissions: bool = True) -> DataFrame:
+    """``stem, passage_id, start_pos, other_passage_id, other_start_pos, share, kind`` of linked units of ``units`` (stem, side, passage_id, start_pos, unit).
 
-    The lexicon is learned from all documents: first from pairs that agree by numbers and sounds, then from the links found with
-    that lexicon. Up to ``max_sent`` rows it goes along with the tasks, beyond it is joined to the words. A stem with units on one
-    side only has no links, as have units without words and numbers. Repeated units link each. Stems are spread by
-    hash; the units of one pair of documents are one task's.
+    kind: match, split, merge or both, by the group of units the link is in; with ``omissions`` also omission, for a unit without link,
+    whose columns of the other side are null. The lexicon is learned from all documents: first from pairs that agree by numbers
+    and sounds, then from the links found with that lexicon. It holds the words that make up ``rate`` of their language's words at least, so
+    it has at most 1 / rate words a language, whatever the data, and goes along with the tasks; rarer words tell by their sounds. A stem with units on one
+    side only has omissions only, as have units without words and numbers. Repeated units link each. Stems are spread by
+    hash; the units of one pair of documents are one task's, compared in blocks.
     """
     aligner = aligner or TransportAligner()
+    spark = units.sparkSession
     tok = cut(tokenized(units).repartition("stem").sortWithinPartitions("stem", "side", "passage_id", "start_pos"))
+    words = cut(tok.select("side", F.explode(F.array_distinct("words")).alias("w")).groupBy("side", "w").agg(F.count(F.lit(1)).alias("n")))
+    totals = {r["side"]: r["n"] for r in words.groupBy("side").agg(F.sum("n").alias("n")).collect()}
+    known = words.where(F.col("n") >= rate * F.when(F.col("side") == 0, totals.get(0, 0)).otherwise(totals.get(1, 0)))
     n = max(tok.where("side = 0").count(), 1)
-    rarity = cut(tok.where("side = 0").select(F.explode(F.array_distinct("words")).alias("e")).groupBy("e").count().select("e", F.log((n + 1) / F.col("count")).alias("idf")))
-    ordered, sent = tok, None
-    for step in range(2):
-        lexicon = learn_lexicon(_cooccurrences(ordered, aligner, sent, lexicon=step > 0))
-        known = cut(_vocabulary(lexicon, rarity))
-        if known.count() <= max_sent:
-            table: Vocabulary = ({}, {})
-            for r in known.collect():
-                table[r["side"]].setdefault(r["w"], []).append((r["f"], r["weight"]))
-            ordered, sent = tok, units.sparkSession.sparkContext.broadcast(table)
-        else:
-            ordered, sent = cut(_with_features(tok, known)), None
+    rarity = {w: (i, math.log((n + 1) / c)) for i, (w, c) in enumerate(known.where("side = 0").select("w", "n").orderBy("w").toArrow().to_pandas().itertuples(index=False))}
+    second = known.where("side = 1").select(F.col("w").alias("h"))
+    sent = None
+    for _ in range(2):
+        lexicon = learn_lexicon(_cooccurrences(tok, aligner, sent)).join(second, "h", "left_semi").toArrow().to_pandas()
+        sent = spark.sparkContext.broadcast(_vocabulary(lexicon, rarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches):
-            left, right = _units(rows, sent.value if sent else None)
-            got = [(rows[0]["stem"], *left[i].key, *right[j].key, round(w, 6)) for i, j, w in aligner.links(left, right)]
-            types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(types)], ["stem", "passage_id", "start_pos", "other_passage_id", "other_start_pos", "share"])
-
-    return ordered.mapInArrow(run, "stem string, passage_id string, start_pos int, other_passage_id string, other_start_pos int, share double")
-
-
-def _vocabulary(lexicon: DataFrame, rarity: DataFrame) -> DataFrame:
-    """``side, w, f, weight``: a word of the first language stands for itself, one of the second for its partners, by rarity."""
-    first = rarity.select(F.lit(0).alias("side"), F.col("e").alias("w"), F.col("e").alias("f"), F.col("idf").alias("weight"))
-    second = lexicon.join(rarity, "e").select(F.lit(1).alias("side"), F.col("h").alias("w"), F.col("e").alias("f"), (F.col("p") * F.col("idf")).alias("weight"))
-    return first.unionByName(second)
-
-
-def _with_features(tok: DataFrame, known: DataFrame) -> DataFrame:
-    """``tok`` with ``features``, what its words stand for, joined."""
-    keys = ["stem", "side", "passage_id", "start_pos"]
-    words = tok.select(*keys, F.explode(F.array_distinct("words")).alias("w"))
-    found = words.join(known, ["side", "w"]).groupBy(*keys, "f").agg(F.sum("weight").alias("weight"))
-    listed = found.groupBy(*keys).agg(F.collect_list(F.struct("f", F.col("weight").alias("w"))).alias("features"))
-    return tok.join(listed, keys, "left").repartition("stem").sortWithinPartitions(*keys)
+        for stem, rows in _grouped(batches):
+            left, right = aligner.sides(rows, sent.value)
+            found = aligner.links(left, right)
+            got = [(stem, *left.keys[i], *right.keys[j], round(w, 6), k) for (i, j, w), k in zip(found, groups(len(left), len(right), found))]
+            if omissions:
+                linked = {i for i, _, _ in found}, {j for _, j, _ in found}
+                got += [(stem, *key, None, None, None, "omission") for i, key in enumerate(left.keys) if i not in linked[0]]
+                got += [(stem, None, None, *key, None, "omission") for j, key in enumerate(right.keys) if j not in linked[1]]
+            types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(types)], ["stem", "passage_id", "start_pos", "other_passage_id", "other_start_pos", "share", "kind"])
+
+    return tok.mapInArrow(run, "stem string, passage_id string, start_pos int, other_passage_id string, other_start_pos int, share double, kind string")
+
+
+def _vocabulary(lexicon, rarity: dict[str, tuple[int, float]]) -> Vocabulary:
+    """A word of the first language stands for itself, one of the second for its partners, by rarity."""
+    first = {w: (np.array([i]), np.array([x])) for w, (i, x) in rarity.items()}
+    listed: dict[str, list[tuple[int, float]]] = {}
+    for h, e, p in lexicon[["h", "e", "p"]].itertuples(index=False):
+        if e in rarity:
+            listed.setdefault(h, []).append((rarity[e][0], p * rarity[e][1]))
+    return first, {h: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for h, x in listed.items()}

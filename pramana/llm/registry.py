@@ -154,7 +154,7 @@ def p7_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_links(spark, d).select(F.col("passage_id").alias("en_passage_id"), F.col("start_pos").alias("en_start_pos"), F.col("other_passage_id").alias("hi_passage_id"), F.col("other_start_pos").alias("hi_start_pos"))
+    return align(p7_units(spark, d), omissions=False).select(F.col("passage_id").alias("en_passage_id"), F.col("start_pos").alias("en_start_pos"), F.col("other_passage_id").alias("hi_passage_id"), F.col("other_start_pos").alias("hi_start_pos"))
 
 
 # 8. Encoding of the whole corpus with a public tokenizer

@@ -223,11 +223,26 @@ def test_alignment(spark):
             if not (stem == "a" and i == 0):
                 units.append((stem, 1, f"{stem}-hi", (4 - i) * 100, h))
     units += [("only", 0, "only-en", 0, "Alone here 12."), ("a", 1, "a-hi", 900, "...")]
-    got = alignment.align(spark.createDataFrame(units, "stem string, side int, passage_id string, start_pos int, unit string"))
-    links = {(r["stem"], r["start_pos"], r["other_start_pos"]) for r in got.collect()}
+    got = alignment.align(spark.createDataFrame(units, "stem string, side int, passage_id string, start_pos int, unit string")).collect()
+    links = {(r["stem"], r["start_pos"], r["other_start_pos"]) for r in got if r["kind"] != "omission"}
     assert links == {(s, i * 100, (4 - i) * 100) for s in "ab" for i in range(5)} - {("a", 0, 400)}
-    joined = alignment.align(spark.createDataFrame(units, "stem string, side int, passage_id string, start_pos int, unit string"), max_sent=0)
-    assert {(r["stem"], r["start_pos"], r["other_start_pos"]) for r in joined.collect()} == links
+    left_out = {(r["passage_id"], r["start_pos"], r["other_passage_id"], r["other_start_pos"]) for r in got if r["kind"] == "omission"}
+    assert left_out == {("a-en", 0, None, None), ("only-en", 0, None, None), (None, None, "a-hi", 900)}
+    assert {r["kind"] for r in got} == {"match", "omission"}
+
+
+def test_groups_of_links():
+    links = [(0, 0, 1.0), (1, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 3, 1.0), (4, 4, 1.0), (4, 5, 1.0), (5, 5, 1.0)]
+    assert alignment.groups(6, 6, links) == ["match", "split", "split", "merge", "merge", "both", "both", "both"]
+
+
+def test_alignment_of_a_long_document():
+    """More units than one block, in another order: each finds its own."""
+    n = 1200
+    rows = lambda which, order: [{"passage_id": which, "start_pos": i, "words": [f"w{i}"], "numbers": [str(10_000 + i)], "bones": []} for i in order]
+    aligner = alignment.TransportAligner()
+    left, right = aligner.sides((rows("a", range(n)), rows("b", reversed(range(n)))), None)
+    assert {(i, j) for i, j, _ in aligner.links(left, right)} == {(i, n - 1 - i) for i in range(n)} == set(aligner.anchors(left, right))
 
 
 def test_skeletons():
