@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from pramana.functions import text as T
+from pramana.operators.running import counted
 
 FEATURES = ("max_score", "margin", "mean_top_k", "n_candidates", "spread", "scheme_agreement")
 
@@ -51,22 +53,55 @@ def sweep(scored: DataFrame, *, grid: int = 40, first: int = 0) -> DataFrame:
     return rates(sums).withColumn("tau", F.col("t") / float(grid)).drop("t")
 
 
+def fit_cut(scored: DataFrame, *, grid: int = 40) -> DataFrame:
+    """One row ``tau, f1`` for ``scored`` (score, answerable): the lowest of the cuts 0, 1/grid, ... 1 with the best f1 of UNANSWERABLE.
+
+    A score below 0 is an abstention: unanswerable at any cut.
+    """
+    return sweep(scored, grid=grid).agg(F.max_by(F.struct("tau", "f1"), F.struct("f1", -F.col("tau"))).alias("b")).select("b.tau", "b.f1")
+
+
 def fit_threshold(scored: DataFrame, *, grid: int = 40) -> DataFrame:
     """One row ``scale, tau, f1`` for ``scored`` (raw, answerable): scale is the largest raw score, tau the lowest of the best f1 of UNANSWERABLE."""
     scale = scored.agg(F.greatest(F.max("raw"), F.lit(1e-12)).alias("scale"))
-    x = scored.crossJoin(F.broadcast(scale)).select(F.least(F.greatest(F.col("raw") / F.col("scale"), F.lit(0.0)), F.lit(1.0)).alias("score"), "answerable")
-    best = sweep(x, grid=grid).agg(F.max_by(F.struct("tau", "f1"), F.struct("f1", -F.col("tau"))).alias("b"))
-    return scale.crossJoin(best).select(F.round("scale", 6).alias("scale"), "b.tau", "b.f1")
+    x = scored.crossJoin(F.broadcast(scale)).select(scaled(F.col("raw"), F.col("scale")).alias("score"), "answerable")
+    return scale.crossJoin(fit_cut(x, grid=grid)).select(F.round("scale", 6).alias("scale"), "tau", "f1")
+
+
+def scaled(raw: Column, scale: Column) -> Column:
+    return F.least(F.greatest(raw / scale, F.lit(0.0)), F.lit(1.0))
+
+
+def self_report(answerable: Column, confidence: Column) -> Column:
+    """What a generator says of its own answer, as a score: its confidence within 0 and 1, below 0 if it abstained."""
+    return F.when(F.coalesce(answerable, F.lit(False)), F.least(F.greatest(F.coalesce(confidence, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(-1.0)
+
+
+def entailment(value: Column, abstained: Column) -> Column:
+    """How far the evidence entails the answer, as a score: below 0 without an answer or a verdict."""
+    return F.when(abstained | value.isNull(), -1.0).otherwise(value)
+
+
+#: What the combined signal is fitted on: retrieval, then the generator's own word, entailment and the answer's length.
+COMBINED = ("max_score", "margin", "mean_top_k", "spread", "scheme_agreement", "generator_answerable", "generator_confidence", "entailment", "answer_length")
+
+
+def combined(features_: DataFrame, generated: DataFrame) -> DataFrame:
+    """``qid`` and COMBINED of retrieval features and ``generated`` (qid, answerable, confidence, entailment, answer); lengths count up to 60 words."""
+    said = generated.select(
+        "qid", F.coalesce(F.col("answerable"), F.lit(True)).cast("double").alias("generator_answerable"), F.coalesce("confidence", F.lit(0.0)).alias("generator_confidence"), F.coalesce("entailment", F.lit(0.0)).alias("entailment"),
+        (F.least(T.count_tokens(F.col("answer")), F.lit(60)) / 60.0).alias("answer_length"),
+    )
+    return features_.join(said, "qid").select("qid", *COMBINED)
 
 
 def auc(scored: DataFrame, *, group: str) -> DataFrame:
     """``group, auc, n`` of ``scored`` (group, score, positive) by mid-ranks; 0.5 where a class is empty.
 
-    Equal scores are counted first and ranked as counts, so what is sorted is different scores.
+    Equal scores are counted first and ranked as counts, in parts of the range (see operators.running).
     """
-    counts = scored.where("score is not null").groupBy(group, "score").agg(F.count_if("positive").alias("p"), F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(group).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.withColumn("mid", before + (F.col("c") + 1) / 2.0).groupBy(group).agg(F.sum(F.col("mid") * F.col("p")).alias("r"), F.sum("p").alias("np"), F.sum("c").alias("n"))
+    counts = counted(scored, group, "score", F.count_if("positive").alias("p"))
+    sums = counts.withColumn("mid", F.col("before") + (F.col("c") + 1) / 2.0).groupBy(group).agg(F.sum(F.col("mid") * F.col("p")).alias("r"), F.sum("p").alias("np"), F.sum("c").alias("n"))
     np_, nn = F.col("np"), F.col("n") - F.col("np")
     value = F.when((np_ == 0) | (nn == 0), 0.5).otherwise((F.col("r") - np_ * (np_ + 1) / 2) / F.greatest(np_ * nn, F.lit(1)))
     return sums.select(group, F.round(value, 6).alias("auc"), F.col("n").cast("bigint").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from pramana.functions import text as T
+from pramana.session import cut
 
 
 def exact_match(prediction: Column, gold: Column) -> Column:
@@ -22,30 +23,17 @@ def token_f1(p: Column, g: Column) -> Column:
     return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).otherwise(2.0 * overlap / F.greatest(n, F.lit(1)))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a fold over one with a row over the other."""
-    start = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
-
-    def row(before: Column, word: Column) -> Column:
-        cells = F.arrays_zip(F.slice(before, 1, F.size(b)).alias("diagonal"), F.slice(before, 2, F.size(b)).alias("up"), b.alias("w"))
-        step = lambda acc, c: F.concat(acc, F.array(F.when(c["w"] == word, c["diagonal"] + 1).otherwise(F.greatest(c["up"], F.element_at(acc, -1)))))
-        return F.aggregate(cells, F.array(F.lit(0)), step)
-
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, start, row), -1))
-
-
-def _lcs(batch):
-    out = []
-    for a, b in zip(*batch):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            diagonal = 0
-            for j, y in enumerate(b, 1):
-                up = row[j]
-                row[j] = diagonal + 1 if x == y else max(up, row[j - 1])
-                diagonal = up
-        out.append(row[-1] / len(a) if len(a) else 0.0)
-    return pd.Series(out, dtype="float64")
+def _lcs(a, b) -> int:
+    """Length of the longest common subsequence of two lists of words: rows of the table are the bits of one integer."""
+    places: dict[str, int] = {}
+    for j, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    free = full
+    for w in a:
+        hit = free & places.get(w, 0)
+        free = (free + hit | free - hit) & full
+    return len(b) - free.bit_count()
 
 
 def rouge_l_precision(answer: Column, passage: Column) -> Column:
@@ -56,7 +44,7 @@ def rouge_l_precision(answer: Column, passage: Column) -> Column:
 def _rouge_udf():
     @F.pandas_udf(DoubleType())
     def rouge(a: pd.Series, b: pd.Series) -> pd.Series:
-        return _lcs((a, b))
+        return pd.Series([_lcs(x, y) / len(x) if len(x) else 0.0 for x, y in zip(a, b)], dtype="float64")
 
     return rouge
 
@@ -68,8 +56,10 @@ def extractive(questions: DataFrame, hits: DataFrame) -> DataFrame:
     1 + 0.35 (rank - 1); the first of equals wins. Without any overlap the lead sentence of the first passage has confidence 0.15.
     """
     asked = questions.select("qid", F.array_distinct(T.tokenize(F.col("question"))).alias("q"), F.col("question").rlike(r"(?iu)how (much|many)|amount|rate|percent|कितन|राशि|kitn").alias("quantity"))
-    sentences = hits.select("qid", "pid", "rank", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "s"))
-    x = sentences.join(asked, "qid").withColumn("terms", F.array_distinct(T.tokenize(F.col("s"))))
+    # A passage is found for many questions: its sentences are tokenized once.
+    texts = hits.groupBy("pid").agg(F.first("text").alias("text"))
+    sentences = cut(texts.select("pid", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "s")).withColumn("terms", F.array_distinct(T.tokenize(F.col("s")))))
+    x = hits.select("qid", "pid", "rank").join(sentences, "pid").join(asked, "qid")
     overlap = F.size(F.array_intersect("q", "terms"))
     score = overlap / (1 + 0.02 * F.size("terms")) * F.when(F.col("quantity") & F.col("s").rlike("[0-9०-९]"), 1.6).otherwise(1.0) / (1 + 0.35 * (F.col("rank") - 1))
     best = x.withColumn("score", F.round(score, 9)).withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "rank", "pos"))).where("r = 1")

@@ -18,6 +18,9 @@ SEED = 20260922
 # Questions wanted by language of question and evidence, unanswerable ones by class, and endings that show a cut.
 QUOTAS = [("en", "en", 70), ("hi", "hi", 60), ("en", "hi", 45), ("hi", "en", 45), ("hinglish", "en", 55), ("hinglish", "hi", 45)]
 CLASS_QUOTAS = [("out-of-scope", 25), ("near-miss", 30), ("false-premise", 15), ("under-specified", 10)]
+DATE = r"\b(19|20)\d{2}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|january|february|march|april|may|june|july|august|september|october|november|december|तिथि|वर्ष|माह|दिनांक"
+ENTITY = r"(^|[^\p{L}\p{N}_])([A-Z]{2,}|Yojana|Abhiyan|Mission|Scheme|अभियान|मिशन)([^\p{L}\p{N}_]|$)|(^|[^\p{L}\p{N}_])योजना[\p{L}\p{N}_]"
+ALIKE_SECTIONS = ["eligibility", "benefits", "features", "पात्रता", "लाभ"]
 
 
 def _numbered(df: DataFrame, group: list[str], key: str, seed: int, *first: Column) -> DataFrame:
@@ -71,12 +74,13 @@ def error_categories(items: DataFrame, gold: DataFrame, sizes: DataFrame) -> Dat
     """``id, category`` of every category of an item (id, question, query_lang, passage_lang, scheme); ``gold`` (id, schemes, sections), ``sizes`` (scheme, n)."""
     x = items.withColumn("c", T.classify_language(F.col("question"))).join(gold, "id", "left").join(sizes, "scheme", "left").withColumn("amounts", T.canonical_amounts(F.coalesce("question", F.lit(""))))
     words = T.count_tokens(F.col("question"))
-    dated = F.col("question").rlike(r"(?iu)\b(19|20)\d{2}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|january|february|march|april|may|june|july|august|september|october|november|december|तिथि|वर्ष|माह|दिनांक")
-    near = (F.size("schemes") == 1) & F.arrays_overlap("sections", F.array(*map(F.lit, ["eligibility", "benefits", "features", "पात्रता", "लाभ"])))
+    dated = F.col("question").rlike("(?iu)" + DATE)
+    near = (F.size("schemes") == 1) & F.arrays_overlap("sections", F.array(*map(F.lit, ALIKE_SECTIONS)))
     tests = {
         "code-mixing": F.col("c.query_type") == "Code-Mixed",
         "transliteration-variation": (F.col("c.query_type") == "Code-Mixed") & (F.col("c.script") == "latin"),
         "cross-lingual-gap": (F.coalesce("passage_lang", F.lit("")) != "") & ~F.col("query_lang").eqNullSafe(F.col("passage_lang")),
+        "named-entity": F.col("question").rlike(ENTITY),
         "amount": F.size("amounts") > 0,
         "date": dated,
         "short-query": words <= 5,
@@ -94,3 +98,12 @@ def merge_dedupe_renumber(sources: DataFrame, keys: Column, cell: list[str]) ->
     kept = sources.withColumn("merge_key", keys).withColumn("r", F.row_number().over(first)).where("r = 1")
     number = F.row_number().over(Window.partitionBy(*cell).orderBy("source_rank", "id")) - 1
     return kept.withColumn("new_id", F.concat_ws("-", *[F.coalesce(F.col(c), F.lit("none")) for c in cell], F.format_string("%03d", number))).drop("merge_key", "r")
+
+
+def coverage(items: DataFrame) -> DataFrame:
+    """``cell, target, have``: items wanted and had, answerable ones by languages of question and evidence, the others by class."""
+    spark = items.sparkSession
+    want = spark.createDataFrame([(f"{q}->{p}", n) for q, p, n in QUOTAS] + [(c, n) for c, n in CLASS_QUOTAS], "cell string, target long")
+    cell = F.when(F.col("answerable"), F.concat_ws("->", F.coalesce("query_lang", F.lit("")), F.coalesce("passage_lang", F.lit("")))).otherwise(F.coalesce("unanswerable_class", F.lit("unclassified")))
+    have = items.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("have"))
+    return want.join(have, "cell", "left").select("cell", "target", F.coalesce("have", F.lit(0)).alias("have"))

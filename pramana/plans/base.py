@@ -44,4 +44,5 @@ def ranked_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_name(c: Column) -> Column:
+    """train, dev or test in one spelling."""
     return F.lower(F.trim(c))

@@ -167,8 +167,21 @@ def _outcomes(ks=(1, 3, 5, 10)) -> str:
  FROM (SELECT method_name system, query_id qid, list(passage_id ORDER BY rank, passage_id) found FROM {RANKED} GROUP BY ALL) JOIN (SELECT id qid, gold_passage_ids gold FROM {ITEMS} WHERE answerable AND len(gold_passage_ids) > 0) USING (qid))"""
 
 
-_HASH = hash_order_sql("CAST(rep AS VARCHAR) || '-' || CAST(j AS VARCHAR)", metrics.SEED)
-_SIGN = hash_order_sql("CAST(t // 50 AS VARCHAR) || '-' || qid", metrics.SEED)
+_SEED = hash_order_sql("qid", metrics.SEED)
+
+
+def _mixed(seed: str) -> str:
+    """The 53 random bits of metrics.random_bits, as UBIGINT, for a seed and a {{step}}."""
+    two = "18446744073709551616"
+    z = f"((CAST({seed} AS HUGEINT) + CAST({{step}} + 1 AS HUGEINT) * 11400714819323198485) % {two})"
+    for shift, by in ((30, 13787848793156543929), (27, 10723151780598845931)):
+        u = f"CAST({z} AS UBIGINT)"
+        z = f"((CAST(xor({u}, {u} >> {shift}) AS HUGEINT) % 4294967296 * {by} + CAST(xor({u}, {u} >> {shift}) AS HUGEINT) // 4294967296 * {by} % 4294967296 * 4294967296) % {two})"
+    u = f"CAST({z} AS UBIGINT)"
+    return f"(xor({u}, {u} >> 31) >> 11)"
+
+
+_BITS = _mixed("h")
 
 ORACLES = {
     "dense_topk": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),
@@ -180,9 +193,8 @@ s AS (SELECT pid, h % 64 bucket, round(sum((1 + ln(tf)) * CASE WHEN (h // 64) %
 SELECT pid, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY pid)), 6) AS value FROM s WHERE w <> 0""",
     "masked_mean_pool": """SELECT vec_id, round(list_sum(list_transform(generate_series(0, vec_id % 4), lambda i: CAST(embedding[i * 16 + 1] AS DOUBLE))) / (vec_id % 4 + 1), 6) AS first,
   round(list_sum(list_transform(generate_series(0, vec_id % 4), lambda i: CAST(embedding[i * 16 + 16] AS DOUBLE))) / (vec_id % 4 + 1), 6) AS last FROM embeddings""",
-    "corpus_fingerprint": f"""WITH e AS (SELECT passage_id pid, sha256(passage_id || chr(0) || coalesce(text, '') || chr(1)) h FROM {PASSAGES}),
-p AS (SELECT substr(md5(pid), 1, 3) part, sha256(string_agg(h, '' ORDER BY pid)) h, count(*) n FROM e GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY part)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM p""",
+    "corpus_fingerprint": f"""WITH e AS (SELECT sha256(passage_id || chr(0) || coalesce(text, '') || chr(1)) h FROM {PASSAGES}), x AS (SELECT {', '.join(f"CAST(coalesce(sum(CAST(('0x' || substr(h, {15 * i + 1}, 15)) AS BIGINT)), 0) AS VARCHAR) s{i}" for i in range(4))}, count(*) n FROM e)
+SELECT sha256(s0 || '|' || s1 || '|' || s2 || '|' || s3 || '|' || n) AS fingerprint, n FROM x""",
     "fuse_rrf": f"WITH {_R}, s AS (SELECT *, round({_VOTES}, 9) score FROM {_PAIR}) {_BEST}",
     "fuse_rrf_many": f"WITH {_R}, s AS (SELECT qid, pid, round(sum(1.0 / (60 + rank)), 9) score, min(rank) lr, 0 er FROM r GROUP BY qid, pid) {_BEST}",
     "fuse_weighted_minmax": _weighted("minmax"),
@@ -201,15 +213,14 @@ s AS (SELECT qid, pid, lr, er, t, round(t / 10.0 * coalesce(ln, 0.0) + (1 - t /
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, t ORDER BY score DESC, lr NULLS LAST, er NULLS LAST, pid) rank FROM s) WHERE rank <= 5),
 o AS (SELECT t, qid, round(count(*) FILTER (list_contains(gold_passage_ids, pid)) / CAST(any_value(len(list_distinct(gold_passage_ids))) AS DOUBLE), 6) recall FROM top JOIN {ITEMS} i ON i.id = qid WHERE answerable AND len(gold_passage_ids) > 0 GROUP BY t, qid)
 SELECT t / 10.0 AS alpha, round(avg(recall), 6) AS recall_5, count(*) AS n FROM o GROUP BY t""",
-    "bootstrap_ci": f"""WITH v AS (SELECT system, qid, recall_5 AS val, row_number() OVER (PARTITION BY system ORDER BY qid) - 1 i, count(*) OVER (PARTITION BY system) n FROM {_outcomes()}),
-dr AS (SELECT system, n, rep, unnest(generate_series(0, n - 1)) j FROM (SELECT system, n, unnest(generate_series(0, 199)) rep FROM (SELECT DISTINCT system, n FROM v))),
-m AS (SELECT system, rep, round(sum(val) / max(n), 9) m FROM (SELECT dr.system, rep, dr.n, {_HASH} % dr.n i FROM dr) JOIN v USING (system, i, n) GROUP BY system, rep),
-e AS (SELECT system, list(m ORDER BY m) ms FROM m GROUP BY system)
-SELECT system, round(avg(val), 6) AS mean, round(any_value(ms)[5], 6) AS lo, round(any_value(ms)[196], 6) AS hi, count(*) AS n FROM v JOIN e USING (system) GROUP BY system""",
+    "bootstrap_ci": f"""WITH v AS (SELECT system, recall_5 AS val, {_SEED} AS h FROM {_outcomes()}), u AS (SELECT system, val, rep, {_BITS.format(step='rep')} AS bits FROM v, (SELECT unnest(generate_series(0, 999)) rep)),
+t AS (SELECT system, val, rep, {' + '.join(f'CAST(bits >= {int(p * (1 << 53))} AS INT)' for p in metrics.POISSON)} AS times FROM u),
+m AS (SELECT system, rep, round(sum(val * times) / greatest(sum(times), 1.0), 9) m FROM t GROUP BY system, rep), e AS (SELECT system, list(m ORDER BY m) ms FROM m GROUP BY system)
+SELECT system, round(avg(val), 6) AS mean, round(any_value(ms)[25], 6) AS lo, round(any_value(ms)[976], 6) AS hi, count(*) AS n FROM v JOIN e USING (system) GROUP BY system""",
     "paired_randomization": f"""WITH o AS (SELECT * FROM {_outcomes()}), d AS (SELECT a.qid, a.recall_5 - b.recall_5 d FROM o a JOIN o b USING (qid) WHERE a.system = 'dense' AND b.system = 'bm25'),
-st AS (SELECT count(*) n, avg(d) observed FROM d),
-sums AS (SELECT t, sum(d * CASE WHEN ({_SIGN} >> CAST(t % 50 AS INT)) & 1 = 0 THEN 1 ELSE -1 END) s FROM d, (SELECT unnest(generate_series(0, 1999)) t) WHERE d <> 0 GROUP BY t)
-SELECT any_value(n) AS n, round(any_value(observed), 6) AS difference, round((count(*) FILTER (abs(s / n) >= abs(observed) - 1e-12) + 1) / 2001.0, 6) AS p_value FROM sums, st""",
+st AS (SELECT count(*) n, avg(d) observed FROM d), u AS (SELECT d, w, {_BITS.format(step='w')} AS bits FROM (SELECT d, {_SEED} AS h FROM d WHERE d <> 0), (SELECT unnest(generate_series(0, 199)) w)),
+sums AS (SELECT w, i, sum(d * CASE WHEN (bits >> i) & 1 = 0 THEN 1 ELSE -1 END) s FROM (SELECT d, w, CAST(bits AS BIGINT) bits, CAST(unnest(generate_series(0, 49)) AS INT) i FROM u) GROUP BY w, i)
+SELECT any_value(n) AS n, round(any_value(observed), 6) AS difference, round((count(*) FILTER (abs(s / n) >= abs(observed) - 1e-12) + 1) / 10001.0, 6) AS p_value FROM sums, st""",
     "score_skew": f"SELECT method_name, count(*) AS n, round(skewness(score), 4) AS skew FROM {RANKED} WHERE score IS NOT NULL GROUP BY method_name",
     "observed_vote_fires": f"""WITH {_R} SELECT q AS script, count(*) AS hits, count(*) FILTER (q NOT IN ('mixed', 'unknown') AND coalesce(p, 'unknown') <> q) AS fires
 FROM (SELECT * FROM r WHERE m = 'bm25') LEFT JOIN {_PS} USING (pid) JOIN {_QS} USING (qid) GROUP BY q""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,10 +24,10 @@ def rate_limit_stream(requests: DataFrame, limits: Limits | None = None, *, idle
         if state.hasTimedOut:
             state.remove()
             return
-        accepted = deque(state.get[0]) if state.exists else deque()
+        accepted = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["t", "request_id"])
         decisions = [limits.decide(accepted, t) for t in rows["t"]]
-        state.update((list(accepted),))
+        state.update((accepted,))
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"request_id": rows["request_id"], "visitor": key[0], "decision": decisions})
 

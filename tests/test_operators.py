@@ -1,8 +1,9 @@
 """Operators of the core on small tables."""
 
 import math
+import random
+import statistics
 import time
-from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pramana.operators import answerability, answers, corpus, dataset, dense, fusion, metrics, serving
 from pramana.operators.lexical import LexicalIndex
 from pramana.session import cut
-from pramana.sources.jsonl import MalformedLine, parse_lines, read_jsonl, write_jsonl
+from pramana.sources.jsonl import malformed, parse_lines, read_jsonl, write_jsonl
 from pramana.streaming.limiter import rate_limit_stream
 
 
@@ -116,13 +117,22 @@ def test_f1(spark, a, b, f1):
     assert x.select(answers.token_f1(F.col("a"), F.col("b")).alias("f")).first()["f"] == f1
 
 
-def test_rouge_agrees_with_fold(spark):
-    from pramana.functions import text as T
+def test_rouge(spark):
+    x = spark.createDataFrame([("a cat sat here", "cat never sat down here"), ("", "x"), (None, None), ("one two three", "three two one")], "a string, b string")
+    got = x.select(answers.rouge_l_precision(F.col("a"), F.col("b")).alias("r")).collect()
+    assert [round(r["r"], 4) for r in got] == [1.0, 0.0, 0.0, 0.3333]
+
 
-    x = spark.createDataFrame([("a cat sat here", "cat never sat down here"), ("", "x"), (None, None)], "a string, b string")
-    got = x.select(answers.rouge_l_precision(F.col("a"), F.col("b")).alias("r"), T.answer_tokens(F.col("a")).alias("p"), T.answer_tokens(F.col("b")).alias("g")).select("r", "p", answers.lcs_length(F.col("p"), F.col("g")).alias("n")).collect()
-    assert [r["r"] for r in got] == [1.0, 0.0, 0.0]
-    assert [r["n"] for r in got] == [3, 0, 0]
+def test_lcs_against_the_table():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [max(row[j + 1], row[j] + 1 if x == y else 0) for j, y in enumerate(b)]
+            for j in range(1, len(row)):
+                row[j] = max(row[j], row[j - 1])
+        assert answers._lcs(a, b) == row[-1]
 
 
 def test_sections_and_segments(spark):
@@ -135,6 +145,12 @@ def test_sections_and_segments(spark):
         assert len(p) > 1 and all(r["token_count"] <= 310 for r in p) and [r["passage_no"] for r in p] == list(range(len(p)))
     spans = corpus.align_spans(corpus.segment_documents(long).select(F.col("passage_no").cast("string").alias("passage_id"), "doc_id", "text"), long).collect()
     assert spans and all(r["coverage"] >= 0.9 and r["start"] < r["end"] for r in spans)
+    twice = spark.createDataFrame([("d", "The fee is due. Other words stand here. The fee is due. The end is near.")], "doc_id string, text string")
+    own = spark.createDataFrame([("p0", "d", "The fee is due. Other words stand here."), ("p1", "d", "The fee is due. The end is near.")], "passage_id string, doc_id string, text string")
+    at = {r["passage_id"]: (r["start"], r["text_raw"]) for r in corpus.align_spans(own, twice).collect()}
+    assert at == {"p0": (0, "The fee is due. Other words stand here."), "p1": (40, "The fee is due. The end is near.")}
+    fixed = corpus.repair_spans(own.withColumns({"text_raw": F.lit("x"), "char_span": F.array(F.lit(0), F.lit(0))}), twice.where("doc_id = 'none'")).collect()
+    assert all(r["char_span"] == [0, 0] and r["text_raw"] == "x" for r in fixed)
     gone = corpus.align_spans(spark.createDataFrame([("p", "d", "quite other words")], "passage_id string, doc_id string, text string"), long).first()
     assert gone["start"] is None
 
@@ -171,8 +187,13 @@ def test_jsonl(spark, tmp_path):
     lines = spark.createDataFrame([('{"id": "1", "more": 2}',), ("",), ("// remark",), ('{"id": "2", "n": 5}',)], "value string")
     got = parse_lines(lines, "id string, n int").orderBy("id").collect()
     assert [(r["id"], r["n"], r["unknown_fields"]) for r in got] == [("1", None, {"more": "2"}), ("2", 5, {})]
-    with pytest.raises(MalformedLine):
-        parse_lines(spark.createDataFrame([("oops",)], "value string"), "id string")
+    with pytest.raises(Exception, match="no JSON object: .*oops"):
+        parse_lines(spark.createDataFrame([("oops",)], "value string"), "id string").collect()
+    (tmp_path / "bad.jsonl").write_text('{"id": "1"}\n\noops\n')
+    assert [(r["line_no"], r["line"]) for r in malformed(spark, str(tmp_path / "bad.jsonl")).collect()] == [(3, "oops")]
+    with pytest.raises(Exception, match="bad.jsonl oops"):
+        read_jsonl(spark, str(tmp_path / "bad.jsonl"), "id string").collect()
+    assert read_jsonl(spark, str(tmp_path / "bad.jsonl"), "id string", strict=False).count() == 1
     assert read_jsonl(spark, str(tmp_path / "missing"), "id string").count() == 0
     assert write_jsonl(parse_lines(lines, "id string"), str(tmp_path / "out")) == 2
     assert read_jsonl(spark, str(tmp_path / "out"), "id string").count() == 2
@@ -180,7 +201,7 @@ def test_jsonl(spark, tmp_path):
 
 def test_rate_limiter(spark):
     limits = serving.Limits(per_minute=2, per_day=3)
-    times, accepted = [0, 1, 2, 61, 62, 86402], deque()
+    times, accepted = [0, 1, 2, 61, 62, 86402], []
     want = [limits.decide(accepted, float(t)) for t in times]
     assert want == ["ok", "ok", "minute", "ok", "day", "ok"]
     x = spark.createDataFrame([(i, "v", t) for i, t in enumerate(times)], "request_id int, visitor string, t long").select("request_id", "visitor", F.timestamp_seconds("t").alias("ts"))
@@ -206,3 +227,69 @@ def test_rate_limiter_stream(spark, tmp_path):
 
 def test_cut_survives(spark):
     assert cut(spark.range(10)).where("id > 4").count() == 5
+
+
+def test_hosted_budget_is_one_for_all(spark):
+    rows = [(i, f"v{i}", i * 10, i != 1) for i in range(5)]
+    x = spark.createDataFrame(rows, "request_id int, visitor string, t long, hosted boolean").select("request_id", "visitor", F.timestamp_seconds("t").alias("ts"), "hosted")
+    decide = lambda cap: [r["decision"] for r in serving.rate_limit(x, serving.Limits(hosted_per_day=cap), hosted="hosted").orderBy("request_id").collect()]
+    assert decide(2) == ["ok", "ok", "ok", "budget", "budget"] and decide(9) == ["ok"] * 5
+    assert serving.Limits.from_settings({"per_minute": "7", "per_day": "many"}).__dict__ == {"per_minute": 7, "per_day": 300, "hosted_per_day": 1000}
+
+
+def test_lexical_store(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "river bridge toll"), ("b", "river ferry"), ("c", None)], "passage_id string, text string")
+    asked = spark.createDataFrame([("q", "toll of the river bridge")], "id string, question string")
+    index = LexicalIndex(docs)
+    index.save(str(tmp_path / "index"))
+    kept = LexicalIndex.load(spark, str(tmp_path / "index"))
+    assert kept.bm25(asked).collect() == index.bm25(asked).collect() and kept.tfidf(asked).collect() == index.tfidf(asked).collect()
+
+
+def test_vectors_are_kept_with_their_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "river bridge toll"), ("b", "river ferry"), ("c", "")], "passage_id string, text string")
+    spec = dense.encoder("hash-64")
+    first = dense.build_vectors(docs, str(tmp_path), spec)
+    assert first.count() == 3 and dense.build_vectors(docs, str(tmp_path), spec).count() == 3
+    more = docs.unionByName(spark.createDataFrame([("d", "toll")], docs.schema))
+    assert dense.build_vectors(more, str(tmp_path), spec).count() == 4
+    with pytest.raises(KeyError):
+        dense.encoder("none")
+    with pytest.raises(RuntimeError):
+        dense.build_vectors(docs, str(tmp_path), dense.encoder("sentence-transformers/LaBSE"))
+
+    class Lengths:
+        def encode(self, texts):
+            return [[len(t), 1.0] for t in texts]
+
+    v = dense.encode(docs, Lengths(), dense.encoder("intfloat/multilingual-e5-base"), pid="passage_id", text="text").orderBy("pid").collect()
+    assert round(v[2]["v"][0] / v[2]["v"][1]) == len("passage: ")
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_dense_blocks_agree_with_all_at_once(spark, k):
+    rng = random.Random(k)
+    rows = [(f"p{i:03d}", [rng.choice([0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(90)]
+    x = spark.createDataFrame(rows, "pid string, v array<double>")
+    asked = x.limit(7).withColumnRenamed("pid", "qid")
+    whole = dense.dense_topk(asked, x, k).orderBy("qid", "rank").collect()
+    assert dense.dense_topk(asked, x, k, cells=2048, max_query_rows=3).orderBy("qid", "rank").collect() == whole
+    assert all(r["rank"] <= k for r in whole) and len(whole) == 7 * min(k, 90)
+
+
+def test_medians_and_running_sums(spark):
+    from pramana.operators.running import medians
+
+    rng = random.Random(1)
+    rows = [(g, rng.randint(0, 30) / 7.0) for g, n in (("a", 101), ("b", 40), ("c", 1)) for _ in range(n)]
+    got = {r["g"]: r["median"] for r in medians(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert all(abs(got[g] - statistics.median(v for h, v in rows if h == g)) < 1e-9 for g in "abc")
+
+
+def test_resampling(spark):
+    x = spark.createDataFrame([("s", f"q{i}", float(i % 2)) for i in range(200)], "system string, qid string, value double")
+    r = metrics.bootstrap_interval(x).first()
+    assert r["mean"] == 0.5 and 0.40 < r["lo"] < 0.46 and 0.54 < r["hi"] < 0.60
+    a, b = (spark.createDataFrame([(f"q{i}", float(v(i))) for i in range(60)], "qid string, value double") for v in (lambda i: 1, lambda i: i % 2))
+    assert metrics.paired_randomization(a, b).first()["p_value"] == round(1 / 10001, 6)
+    assert metrics.paired_randomization(a, a).first()["p_value"] == 1.0
