@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pramana.plans import answering, building, dataset, pipeline, retrieval, textual
+from pramana.plans import answering, building, dataset, experiments, pipeline, retrieval, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "bm25_topk"
-FAMILIES = [textual, retrieval, answering, pipeline, building, dataset]
+FAMILIES = [textual, retrieval, answering, pipeline, building, dataset, experiments]
 
 
 def queries() -> dict[str, Query]:
