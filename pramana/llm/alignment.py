@@ -17,12 +17,16 @@ from pyspark.sql.window import Window
 from pramana.llm.overlap import fold
 from pramana.session import cut
 
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _TOKEN = regex.compile(r"\d+(?:[,.]\d+)*|[\p{L}\p{M}]+")
 # The sound of each Devanagari consonant, in classes that English spelling keeps apart from each other.
 _SOUNDS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलळवशषसह", "k k g g n c c j j n t t d d n t t d d n p f b b m . r l l . s s s .".split()))
 _LATIN = [("ksh", "ks"), ("sh", "s"), ("chh", "c"), ("ch", "c"), ("ph", "f"), ("ck", "k"), ("tion", "sn"), ("x", "ks"), ("q", "k"), ("c", "k"), ("z", "j")]
 
 
+_SOFT, _TWICE = regex.compile("[aeiouywvh]"), regex.compile(r"(.)\1+")
+
+
 @lru_cache(maxsize=100_000)
 def skeleton(word: str) -> str:
     """The consonants a word sounds with, alike in Latin and Devanagari spelling; vowels, glides and breath are left out."""
@@ -33,37 +37,38 @@ def skeleton(word: str) -> str:
     else:
         for a, b in _LATIN:
             w = w.replace(a, b)
-        w = regex.sub(r"[aeiouywvh]", "", w)
-    return regex.sub(r"(.)\1+", r"\1", w)
+        w = _SOFT.sub("", w)
+    return _TWICE.sub(r"\1", w)
 
 
 def tokens(unit: str) -> tuple[list[str], list[str], list[str]]:
     """(words, numbers, skeletons) of a unit, each in one form."""
     t = fold(unit)
-    rough = regex.sub(r"(?<=[डढ])़", "़", unit)  # folding drops the dot below; the skeleton needs it
     found = _TOKEN.findall(t)
     words = [w for w in found if not w[0].isdigit()]
     numbers = [w.replace(",", "").rstrip(".") for w in found if w[0].isdigit()]
-    bones = {skeleton(w.casefold()) for w in regex.findall(r"[\p{L}\p{M}]+", rough)}
+    # Folding drops the dot below, which the skeleton needs.
+    bones = {skeleton(w.casefold()) for w in _LETTERS.findall(unit)}
     return words, numbers, sorted(b for b in bones if len(b) >= 3)
 
 
 def sinkhorn(i: np.ndarray, j: np.ndarray, cost: np.ndarray, a: np.ndarray, b: np.ndarray, null: float, epsilon: float, rounds: int) -> np.ndarray:
     """The plan at the places (i, j) of ``cost`` between masses a and b, where any mass may stay unmatched at cost ``null``: a null row and column take it up. Other places carry none."""
     n, m = len(a), len(b)
-    k = np.exp(-cost / epsilon)
-    unmatched = math.exp(-null / epsilon)
-    spare_a, spare_b = b.sum(), a.sum()  # masses of the null row and column
-    u, v, u0, v0 = np.ones(n), np.ones(m), 1.0, 1.0
+    # The null row and column, with the corner between them at cost 0, are further places.
+    skip = math.exp(-null / epsilon)
+    row = np.concatenate([i, np.arange(n), np.full(m, n), [n]])
+    col = np.concatenate([j, np.full(n, m), np.arange(m), [m]])
+    k = np.concatenate([np.exp(-cost / epsilon), np.full(n + m, skip), [1.0]])
+    a, b = np.append(a, b.sum()), np.append(b, a.sum())
+    u, v = np.ones(n + 1), np.ones(m + 1)
     for step in range(rounds):
         was = u
-        u = a / np.maximum(np.bincount(i, k * v[j], n) + unmatched * v0, 1e-300)
-        u0 = spare_a / max(unmatched * v.sum() + v0, 1e-300)
-        v = b / np.maximum(np.bincount(j, k * u[i], m) + unmatched * u0, 1e-300)
-        v0 = spare_b / max(unmatched * u.sum() + u0, 1e-300)
-        if step % 5 == 4 and np.abs(np.log(u / was)).max() < 1e-3:
+        u = a / np.bincount(row, k * v[col], n + 1)
+        v = b / np.bincount(col, k * u[row], m + 1)
+        if step % 5 == 4 and np.abs(u / was - 1).max() < 1e-3:
             break
-    return u[i] * k * v[j]
+    return u[i] * k[: len(i)] * v[j]
 
 
 #: Rows of units compared at once; bounds memory for documents of any length.
@@ -119,7 +124,7 @@ class TransportAligner:
         out = []
         for which, side in enumerate(rows):
             unit, feature, weight = [], [], []
-            words_u, words_f, words_w = [], [], []
+            own, count = [], np.zeros(len(side), np.int64)
             for i, r in enumerate(side):
                 for x in set(r["numbers"]):
                     unit.append(i)
@@ -131,16 +136,14 @@ class TransportAligner:
                         unit.append(i)
                         feature.append(names.setdefault("s" + x, len(names)))
                         weight.append(self.sound_weight / math.sqrt(max(seen[0][x], seen[1][x])))
-                for w in set(r["words"]) if vocabulary else ():
-                    found = vocabulary[which].get(w)
-                    if found is not None:
-                        words_f.append(found[0])
-                        words_w.append(found[1])
-                        words_u.append(np.full(len(found[0]), i))
+                if vocabulary:
+                    known = [x for x in map(vocabulary[which].number.get, set(r["words"])) if x is not None]
+                    own += known
+                    count[i] = len(known)
             u, f, w = np.array(unit, np.int64), -1 - np.array(feature, np.int64), np.array(weight, float)
-            if words_u:
+            if own:
                 # Several words may stand for one feature: their weights add up.
-                wu, wf, ww = np.concatenate(words_u), np.concatenate(words_f), np.concatenate(words_w)
+                wu, wf, ww = vocabulary[which].features(np.array(own), np.repeat(np.arange(len(side)), count))
                 order = np.lexsort((wf, wu))
                 wu, wf, ww = wu[order], wf[order], ww[order]
                 starts = np.flatnonzero(np.r_[True, (wu[1:] != wu[:-1]) | (wf[1:] != wf[:-1])])
@@ -225,8 +228,23 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, tuple[lis
         yield stem, own
 
 
-#: For each side the features a word stands for, as numbers, and their weights.
-Vocabulary = tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[str, tuple[np.ndarray, np.ndarray]]]
+class Words:
+    """What each word of a language stands for: its number n, and features and weights from first[n] on to first[n + 1]."""
+
+    def __init__(self, listed: dict[str, list[tuple[int, float]]]):
+        self.number = {w: n for n, w in enumerate(listed)}
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in listed.values()], dtype=np.int64)])
+        self.feature = np.array([f for x in listed.values() for f, _ in x], np.int64)
+        self.weight = np.array([w for x in listed.values() for _, w in x], float)
+
+    def features(self, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, feature, weight) of all features of the words."""
+        n = self.first[words + 1] - self.first[words]
+        at = np.repeat(self.first[words] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.repeat(owner, n), self.feature[at], self.weight[at]
+
+
+Vocabulary = tuple[Words, Words]
 
 
 def tokenized(units: DataFrame) -> DataFrame:
@@ -319,9 +337,8 @@ def align(units: DataFrame, aligner: TransportAligner | None = None, *, rate: fl
 
 def _vocabulary(lexicon, rarity: dict[str, tuple[int, float]]) -> Vocabulary:
     """A word of the first language stands for itself, one of the second for its partners, by rarity."""
-    first = {w: (np.array([i]), np.array([x])) for w, (i, x) in rarity.items()}
     listed: dict[str, list[tuple[int, float]]] = {}
     for h, e, p in lexicon[["h", "e", "p"]].itertuples(index=False):
         if e in rarity:
             listed.setdefault(h, []).append((rarity[e][0], p * rarity[e][1]))
-    return first, {h: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for h, x in listed.items()}
+    return Words({w: [x] for w, x in rarity.items()}), Words(listed)

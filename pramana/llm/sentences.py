@@ -26,6 +26,8 @@ _UNIT = regex.compile(rf"[{regex.escape('.?!।॥|…؟۔')}。！？｡]+[{reg
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.,:/'’-][\p{L}\p{M}\p{N}]+)*")
 _FINAL = regex.compile(rf"([{regex.escape(_ENDS)}]+)[{regex.escape(_CLOSE)}]*$")
 _MARKED = regex.compile(rf"[{regex.escape(_ENDS)}]")
+_RUN = regex.compile(r"\S+")
+_NO_END, _NO_START = ",;:-–—/", _CLOSE + ",;:-–—/&+"
 _SAYS = regex.compile(r"[\p{L}\p{N}]")
 #: Finds the last word before a place.
 _BACK = regex.compile(_WORD.pattern, regex.REVERSE)
@@ -168,22 +170,33 @@ def gaps(text: str, start: int, end: int, unmarked: bool = False) -> list[Gap]:
     return out
 
 
+@lru_cache(maxsize=200_000)
+def _token(t: str) -> tuple[bool, bool, str, str, str] | None:
+    """Of a run of characters without white space: (may a sentence begin with it, and one end with it, its left side, right side and shape); None without letters and digits."""
+    if not _SAYS.search(t):
+        return None
+    last = _BACK.search(t)
+    return t[0] not in _NO_START, t[-1] not in _NO_END, _left_word(last[0]) if last else "<none>", *_right(t, 0)
+
+
 def _between(block: str, start: int, first: int, last: int, spans: list[tuple[int, int]]) -> list[Gap]:
     """The gaps between the words from ``first`` to ``last``, none of which ends with a mark."""
     out: list[Gap] = []
     k = end = 0
     before = None
-    for m in _STEP.finditer(block, first, last):
-        if not _SAYS.search(m[0]):
+    han = _HAN.search(block, first, last) is not None
+    for m in (_STEP if han else _RUN).finditer(block, first, last):
+        info = _token(m[0])
+        if info is None:
             continue
         at = m.start()
         while k < len(spans) and spans[k][1] < at:
             k += 1
         inside = k < len(spans) and spans[k][0] < at
-        if before is not None and not inside and before[-1] not in ",;:-–—/" and m[0][0] not in _CLOSE + ",;:-–—/&+":
-            right, shape = _right(block, at)
-            out.append(Gap(start + at, _left_step(block, before, end), "", right, shape, 1))
-        before, end = m[0], m.end()
+        if before is not None and not inside and before[1] and info[0]:
+            right, shape = _right(block, at) if han else info[3:]
+            out.append(Gap(start + at, _left_step(block, step, end) if han else before[2], "", right, shape, 1))
+        before, end, step = info, m.end(), m[0]
     return out
 
 
@@ -209,6 +222,17 @@ class HiddenEventModel:
 
     def __init__(self, event: dict[tuple[str, str], float], by_mark: dict[str, float], right: dict[tuple[str, str], float], shapes: dict[str, float], ends: dict[str, float], short: float, bare: tuple[float, float] = (0.05, 0.00002)):
         self.event, self.by_mark, self.right, self.shapes, self.ends, self.short, self.bare = event, by_mark, right, shapes, ends, short, bare
+        self._known: dict[tuple[str, str, str, str], float] = {}
+
+    def odds(self, g: Gap) -> float:
+        """Odds of an event at the gap; each pair of sides is looked up once."""
+        key = (g.left, g.mark, g.right, g.shape)
+        known = self._known.get(key)
+        if known is None:
+            if len(self._known) > 500_000:
+                self._known.clear()
+            known = self._known[key] = math.exp(max(-30.0, min(30.0, self.log_odds(g))))
+        return known
 
     def log_odds(self, g: Gap) -> float:
         """Log odds of an event at the gap for what stands on both sides of it."""
@@ -229,7 +253,7 @@ class HiddenEventModel:
         """(posterior of an event at each gap, log of the sum over all ways to place events, of weight 0 for none), by forward-backward over
         the chain in which events after a single unit are rare."""
         n = len(found)
-        odds = [math.exp(max(-30.0, min(30.0, self.log_odds(g)))) for g in found]
+        odds = [self.odds(g) for g in found]
         stay = [self.short if g.units <= 1 else 1.0 for g in found]
         # state: was there an event at the gap before? a: forward sums for (none, event), scaled.
         forward: list[tuple[float, float]] = []
@@ -445,7 +469,7 @@ def _maximize(start, inside, end, stop, word, hidden, rounds: int) -> HiddenEven
 def sentence_units(df: DataFrame, model: HiddenEventModel, *, id_col: str = "passage_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``id_col, start_pos`` (and ``unit``) of each sentence unit; texts that are null, blank or without letters and digits have none."""
     kind = dict(df.dtypes)[id_col]
-    parts = model.__dict__
+    parts = {k: v for k, v in model.__dict__.items() if k[0] != "_"}
     sent = df.sparkSession.sparkContext.broadcast(parts)  # as many rows as train() bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
