@@ -180,3 +180,83 @@ def test_reanchored_items(spark):
     changes = spark.createDataFrame([("i", "a", "moved", "n"), ("i", "b", "contained", "n"), ("j", "c", "unchanged", "c")], "id string, passage_id string, status string, new_id string")
     got = {r["id"]: (r["gold_passage_ids"], r["verified"], r["notes"]) for r in corpus.apply_reanchor(items, changes, version=3).collect()}
     assert got == {"i": (["n"], False, "reanchored to segmentation v3: contained"), "j": (["c"], True, "seen")}
+
+
+def test_server(spark, passages):
+    import threading
+    import urllib.request
+    from http.server import ThreadingHTTPServer
+
+    from pramana import server
+    from pramana.operators.serving import Limits
+
+    system = server.load_system(passages)
+    assert system.notes and system.ask('{"query": "How much is the ferry toll?"}')[1]["answerability"] == "ANSWERABLE"
+    assert system.ask('{"query": ""}')[0] == 400 and system.ask('{"query": "toll", "generator": "x"}')[0] == 400
+    httpd = ThreadingHTTPServer(("127.0.0.1", 0), server.make_handler(system, "/nonexistent", gate=server.Gate(Limits(per_minute=1))))
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{httpd.server_port}"
+        assert json.load(urllib.request.urlopen(at + "/api/health"))["ok"]
+        ask = lambda: urllib.request.urlopen(urllib.request.Request(at + "/api/ask", data=b'{"query": "ferry toll"}'))
+        assert json.load(ask())["citations"]
+        for call, code in ((ask, 429), (lambda: urllib.request.urlopen(at + "/../etc/passwd"), 404)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                call()
+            assert e.value.code == code
+    finally:
+        httpd.shutdown()
+
+
+def test_chat_completions_ask_again(monkeypatch):
+    import io
+    import urllib.error
+
+    from pramana.sources import providers
+
+    calls = []
+
+    def open_url(request, timeout):
+        calls.append(request.full_url)
+        if len(calls) == 1:
+            raise urllib.error.HTTPError(request.full_url, 429, "busy", {"Retry-After": "3"}, None)
+        return io.BytesIO(json.dumps({"choices": [{"message": {"content": " six "}}]}).encode())
+
+    waits = []
+    monkeypatch.setattr(providers.urllib.request, "urlopen", open_url)
+    monkeypatch.setattr(providers.time, "sleep", waits.append)
+    assert providers.ChatCompletions(base_url="http://x/", model="m", api_key="k").complete(["When?"]) == ["six"]
+    assert calls == ["http://x/chat/completions"] * 2 and waits == [3.0]
+    with pytest.raises(providers.ProviderError):
+        providers.ChatCompletions(base_url="http://x", model="m", api_key="")
+    assert providers.CrossEncoderNLI("none").score([("", "x")]) == [(0.0, 1.0, 0.0)]
+
+
+def test_sources(spark, tmp_path):
+    import io
+
+    from pramana.sources import pairs, reports
+
+    tries = []
+
+    def open_url(address, timeout):
+        tries.append(address)
+        return io.BytesIO(b"no json" if len(tries) < 3 else b'{"ok": 1}')
+
+    waits = []
+    assert pairs.get_json("http://x", {"a": "b"}, open_url=open_url, sleep=waits.append) == {"ok": 1} and waits == [0.75, 1.5]
+    schemes = spark.createDataFrame([("s1", "A", "c"), ("s2", "B", "c"), ("s3", "C", "c")], "scheme string, en_title string, category string")
+    pages = spark.createDataFrame([("A", "A1", "अ"), ("B", "B", None), ("C", None, None)], "asked string, title string, other_title string")
+    resolved, missing, unpaired = pairs.resolve_pairs(schemes, pages)
+    assert [r["title"] for r in resolved.collect()] == ["A1"] and [r["scheme"] for r in missing.collect()] == ["s3"] and [r["scheme"] for r in unpaired.collect()] == ["s2"]
+    docs = spark.createDataFrame([("s1", "en", "x" * 500), ("s1", "hi", "y" * 600), ("s2", "en", "x" * 900), ("s2", "hi", "short")], "scheme string, lang string, text string")
+    assert {r["scheme"] for r in pairs.keep_pairs(docs).collect()} == {"s1"}
+    said = []
+    stages = reports.run_all(str(tmp_path / "out"), {"docs": lambda: docs.groupBy("scheme").count().orderBy("scheme"), "bad": lambda: docs.select("none")}, said.append)
+    assert stages[0].lines == 5 and stages[1].skipped and (tmp_path / "out" / "report-docs.txt").read_text() == "\n".join(said) + "\n"
+    (tmp_path / "a.json").write_text('{"n": 1}')
+    (tmp_path / "b.json").write_text("{broken")
+    assert [(r["file"], r["n"]) for r in reports.read_json_documents(spark, str(tmp_path), "n int").collect()] == [("a.json", 1)]
+    assert reports.read_json_documents(spark, str(tmp_path / "none"), "n int").count() == 0
+    one = reports.content_hash(docs, ["scheme", "lang"])
+    assert reports.content_hash(docs.repartition(7), ["scheme", "lang"]) == one != reports.content_hash(docs.limit(3), ["scheme", "lang"])
