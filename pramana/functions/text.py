@@ -134,6 +134,31 @@ def misplaced_matras(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"(?<![क-हक़-य़ऺ-ौ])[ऺ-ौ]"))
 
 
+def misplaced_matra_places(c: Column) -> Column:
+    """Array of ``pos`` (from 0) and ``near``, six characters to both sides, of vowel signs that follow neither a consonant nor a sign."""
+    at = lambda i: F.substring(c, i, F.lit(1))
+    wrong = lambda i: at(i).rlike("[\u093a-\u094c]") & ((i == 1) | ~at(i - 1).rlike("[\u0915-\u0939\u0958-\u095f\u093a-\u094c]"))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), wrong)
+    return F.transform(places, lambda i: F.struct((i - 1).alias("pos"), F.substring(c, F.greatest(i - 6, F.lit(1)), i + 6 - F.greatest(i - 6, F.lit(1)) + 1).alias("near")))
+
+
+def integrity(c: Column, *, expect_hindi: bool = True) -> Column:
+    """Struct ``n_chars, ratio, matra_rate, virama_rate, stopword_rate, failures`` of a text: what is wrong with it, as far as characters and words tell.
+
+    too_short, replacement_chars; of Hindi also low_devanagari_ratio, misplaced_matras, dangling_viramas and, from 20 words on, low_stopword_rate.
+    """
+    t = normalize_unicode(F.coalesce(c, F.lit("")))
+    n, words = F.length(F.regexp_replace(t, r"(?U)\s", "")), F.size(hindi_words(t))
+    deva = F.greatest(F.length(F.regexp_replace(t, rf"[^{DEVA}]|(?U)\s", "")), F.lit(1))
+    ratio, matra = F.round(devanagari_ratio(t), 6), F.round(misplaced_matras(t) / deva, 6)
+    virama, stop = F.round(final_viramas(t) / F.greatest(words, F.lit(1)), 6), F.round(stopword_rate(t), 6)
+    checks = {"too_short": n < 40, "replacement_chars": F.contains(t, F.lit("\ufffd"))}
+    if expect_hindi:
+        checks |= {"low_devanagari_ratio": ratio < 0.45, "misplaced_matras": matra > 0.005, "dangling_viramas": virama > 0.02, "low_stopword_rate": (stop < 0.05) & (words >= 20)}
+    failures = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in checks.items()]))
+    return F.struct(n.cast("bigint").alias("n_chars"), ratio.alias("ratio"), matra.alias("matra_rate"), virama.alias("virama_rate"), stop.alias("stopword_rate"), failures.alias("failures"))
+
+
 def final_viramas(c: Column) -> Column:
     return F.size(F.filter(hindi_words(c), lambda w: F.endswith(w, F.lit("्"))))
 
@@ -176,6 +201,10 @@ def classify_language(c: Column) -> Column:
     )
 
 
+def is_code_mixed(c: Column) -> Column:
+    return classify_language(c)["query_type"] == "Code-Mixed"
+
+
 def _stem_hindi(w: Column) -> Column:
     out = F.when(F.lit(False), w)
     for s in HINDI_SUFFIXES:

@@ -58,6 +58,16 @@ def generations(arm: Arm, contexts_: DataFrame, replies: DataFrame) -> DataFrame
     return x.select("id", F.lit(arm.key).alias("arm"), "context", says.alias("answerable"), F.when(says, a["answer"]).when(a.isNull(), "").otherwise(R.REFUSAL).alias("answer"), F.coalesce(a["citation"], F.lit("")).alias("citation"), F.coalesce(a["confidence"], F.lit(0.0)).alias("confidence"))
 
 
+def extractive_complete(prompts: DataFrame, passages: DataFrame) -> DataFrame:
+    """``key, reply`` for ``prompts`` (key, prompt): the best sentence of the prompt's own passages (pid, text), as a model would reply; without passages an abstention."""
+    asked = prompts.select("key", R.parse_prompt(F.col("prompt")).alias("p")).select("key", "p.question", "p.ids")
+    hits = asked.select(F.col("key").alias("qid"), F.posexplode("ids").alias("pos", "pid")).join(passages.select("pid", "text"), "pid").select("qid", "pid", (F.col("pos") + 1).alias("rank"), "text")
+    said = Q.extractive(asked.select(F.col("key").alias("qid"), "question"), hits)
+    reply = F.to_json(F.struct((F.trim("answer") != "").alias("answerable"), "answer", F.col("pid").alias("citation"), F.round("confidence", 3).alias("confidence")))
+    none = F.to_json(F.struct(F.lit(False).alias("answerable"), F.lit(R.REFUSAL).alias("answer"), F.lit("").alias("citation"), F.lit(0.0).alias("confidence")))
+    return asked.select("key").join(said.select(F.col("qid").alias("key"), reply.alias("reply")), "key", "left").select("key", F.coalesce("reply", none).alias("reply"))
+
+
 def best_over_golds(score, golds: Column) -> Column:
     """The best ``score`` (a function of one gold) over the golds that aren't empty; 0 if there are none."""
     real = F.filter(golds, lambda g: g.isNotNull() & (g != ""))

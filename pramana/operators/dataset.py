@@ -55,6 +55,14 @@ def sample_by_class(df: DataFrame, group: str, key: str, fraction: float, *, see
     return x.where(F.col("rn") <= F.greatest(F.lit(1), F.bround(F.round(F.col("n") * fraction, 9), 0))).drop("rn", "n")
 
 
+def shared_out(df: DataFrame, group: str, key: str, n: int, *, seed: int = SEED) -> DataFrame:
+    """About ``n`` rows shared out to the classes by their sizes: of each at least one, rounded half to even, and all if it has fewer."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__c"))
+    total = sizes.agg(F.sum("__c")).first()[0] or 1
+    x = _numbered(df, [group], key, seed).join(F.broadcast(sizes).withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g")))
+    return x.where(F.col("rn") <= F.greatest(F.lit(1), F.bround(F.round(F.col("__c") * F.lit(float(n) / total), 9), 0))).drop("rn", "__c", "__g")
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Jaccard of the terms of two columns of tokens."""
     return jaccard(F.array_distinct(a), F.array_distinct(b))

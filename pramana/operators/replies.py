@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -150,3 +151,29 @@ class ReplyCache:
         new.mapInArrow(ask, "key string, reply string").withColumn("written", F.current_timestamp()).write.mode("append").parquet(self.path)
         return prompts.select("key").distinct().join(self.rows(spark), "key")
 
+
+class PairScorer(Protocol):
+    """Scores pairs of texts: entailment, neutral, contradiction."""
+
+    name: str
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[tuple[float, float, float]]: ...
+
+
+class _AsProvider:
+    """A scorer as a provider of replies: a prompt is a pair as JSON, a reply its three numbers."""
+
+    def __init__(self, scorer: PairScorer):
+        self.scorer, self.name = scorer, scorer.name
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        return [json.dumps(list(x)) for x in self.scorer.score([tuple(json.loads(p)) for p in prompts])]
+
+
+def entailments(pairs: DataFrame, cache: ReplyCache, scorer: PairScorer) -> DataFrame:
+    """``pairs`` (premise, hypothesis, ...) with ``entailment, neutral, contradiction, label``; each different pair is scored once and kept."""
+    x = pairs.withColumn("__key", pair_key(F.coalesce("premise", F.lit("")), F.coalesce("hypothesis", F.lit(""))))
+    prompts = x.select(F.col("__key").alias("key"), F.to_json(F.array(F.coalesce("premise", F.lit("")), F.coalesce("hypothesis", F.lit("")))).alias("prompt"))
+    got = cache.complete(prompts, _AsProvider(scorer)).select(F.col("key").alias("__key"), F.from_json("reply", "array<double>").alias("__v"))
+    v = lambda i: F.get("__v", F.lit(i))
+    return x.join(got, "__key").withColumns({"entailment": v(0), "neutral": v(1), "contradiction": v(2), "label": nli_label(v(0), v(1), v(2))}).drop("__key", "__v")

@@ -31,12 +31,13 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stratified_by_class(spark: SparkSession, d: str) -> DataFrame:
-    x = items(spark, d).where("not answerable").select("id", "unanswerable_class")
-    return D.sample_by_class(x, "unanswerable_class", "id", 0.1)
+    """60 items, answerable ones and each class of the others by their shares."""
+    x = items(spark, d).select("id", F.when(F.col("answerable"), "answerable").otherwise(F.coalesce("unanswerable_class", F.lit("other"))).alias("class"))
+    return D.shared_out(x, "class", "id", 60)
 
 
 def second_pass_sample(spark: SparkSession, d: str) -> DataFrame:
-    x = items(spark, d).select("id", F.when(F.col("answerable"), "answerable").otherwise(F.col("unanswerable_class")).alias("class"))
+    x = items(spark, d).where("verified").where(~V.is_rejected(F.col("notes"))).select("id", F.when(F.col("answerable"), "answerable").otherwise(F.coalesce("unanswerable_class", F.lit("other"))).alias("class"))
     return D.sample_by_class(x, "class", "id", 0.15)
 
 
@@ -246,8 +247,8 @@ b AS (SELECT *, floor(round(CAST(sh AS DOUBLE), 9)) base, round(CAST(sh AS DOUBL
 qt AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, query_lang NULLS FIRST, answerable, scheme NULLS FIRST) <= 120 - sum(base) OVER () THEN 1 ELSE 0 END quota FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_lang, answerable, scheme ORDER BY {_H('id')}, id) rn FROM x)
 SELECT id, CASE WHEN rn <= quota THEN 'dev' ELSE 'test' END AS part FROM r JOIN qt ON r.query_lang IS NOT DISTINCT FROM qt.query_lang AND r.answerable = qt.answerable AND r.scheme IS NOT DISTINCT FROM qt.scheme""",
-    "stratified_by_class": _BY_CLASS.format(cols="id, unanswerable_class", g="unanswerable_class", h=_H("id"), src=f"SELECT id, unanswerable_class FROM {ITEMS} WHERE NOT answerable", f=0.1),
-    "second_pass_sample": _BY_CLASS.format(cols="id, class", g="class", h=_H("id"), src=f"SELECT id, CASE WHEN answerable THEN 'answerable' ELSE unanswerable_class END class FROM {ITEMS}", f=0.15),
+    "stratified_by_class": f"SELECT id, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {_H('id')}, id) rn, count(*) OVER (PARTITION BY class) n, count(*) OVER () al FROM (SELECT id, CASE WHEN answerable THEN 'answerable' ELSE coalesce(unanswerable_class, 'other') END class FROM {ITEMS})) WHERE rn <= greatest(1, round_even(round(n * (CAST(60 AS DOUBLE) / al), 9), 0))",
+    "second_pass_sample": _BY_CLASS.format(cols="id, class", g="class", h=_H("id"), src=f"SELECT id, CASE WHEN answerable THEN 'answerable' ELSE coalesce(unanswerable_class, 'other') END class FROM {ITEMS} WHERE verified AND NOT starts_with(coalesce(notes, ''), 'REJECTED')", f=0.15),
     "enriched_sample": f"WITH x AS (SELECT id, answerable FROM {ITEMS} WHERE lower(trim(split)) = 'test') SELECT * FROM x WHERE NOT answerable UNION ALL (SELECT * FROM x WHERE answerable QUALIFY row_number() OVER (ORDER BY {_H('id')}, id) <= (SELECT 2 * count(*) FROM x WHERE NOT answerable))",
     "coverage_vs_target": f"""WITH i AS (SELECT * FROM {ITEMS} WHERE NOT starts_with(coalesce(notes, ''), 'REJECTED'))
 SELECT q || '->' || p AS cell, CAST(t AS BIGINT) AS target, (SELECT count(*) FROM i WHERE answerable AND query_lang = q AND passage_lang = p) AS have FROM (VALUES {', '.join(str(x) for x in D.QUOTAS)}) v(q, p, t)

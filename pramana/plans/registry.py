@@ -19,4 +19,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()} | answering._late() | dataset._late()
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()} | answering._late() | dataset._late() | pipeline._late()

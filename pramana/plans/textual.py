@@ -44,17 +44,27 @@ def normalize_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def integrity_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Checks of Hindi passages; fails: too_short, replacement_chars, low_devanagari_ratio, misplaced_matras, dangling_viramas, low_stopword_rate."""
-    t = passages(spark, d).where("lang = 'hi'").select("passage_id", T.normalize_unicode(F.coalesce("text", F.lit(""))).alias("t"))
-    n, words = F.length(F.regexp_replace("t", r"(?U)\s", "")), F.size(T.hindi_words(F.col("t")))
-    deva = F.greatest(F.length(F.regexp_replace("t", rf"[^{T.DEVA}]|(?U)\s", "")), F.lit(1))
-    t = t.select(
-        "passage_id", n.cast("bigint").alias("n_chars"), F.round(T.devanagari_ratio(F.col("t")), 6).alias("ratio"), F.round(T.misplaced_matras(F.col("t")) / deva, 6).alias("matra_rate"),
-        F.round(T.final_viramas(F.col("t")) / F.greatest(words, F.lit(1)), 6).alias("virama_rate"), F.round(T.stopword_rate(F.col("t")), 6).alias("stopword_rate"), words.alias("words"), (F.length("t") - F.length(F.replace("t", F.lit("�"), F.lit("")))).alias("replaced"),
-    )
-    checks = [("too_short", F.col("n_chars") < 40), ("replacement_chars", F.col("replaced") > 0), ("low_devanagari_ratio", F.col("ratio") < 0.45), ("misplaced_matras", F.col("matra_rate") > 0.005), ("dangling_viramas", F.col("virama_rate") > 0.02), ("low_stopword_rate", (F.col("stopword_rate") < 0.05) & (F.col("words") >= 20))]
-    failures = F.array_join(F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in checks]), lambda x: x.isNotNull()), "|")
-    return t.select("passage_id", "n_chars", "ratio", "matra_rate", "virama_rate", "stopword_rate", failures.alias("failures"))
+    """Checks of Hindi passages."""
+    x = passages(spark, d).where("lang = 'hi'").select("passage_id", T.integrity(F.col("text")).alias("i"))
+    return x.select("passage_id", "i.n_chars", "i.ratio", "i.matra_rate", "i.virama_rate", "i.stopword_rate", F.array_join("i.failures", "|").alias("failures"))
+
+
+def integrity_other(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of passages in other languages, of which no Hindi is expected."""
+    x = passages(spark, d).where("lang <> 'hi'").select("passage_id", T.integrity(F.col("text"), expect_hindi=False).alias("i"))
+    return x.select("passage_id", "i.n_chars", F.array_join("i.failures", "|").alias("failures"))
+
+
+def misplaced_matras(spark: SparkSession, d: str) -> DataFrame:
+    """Where vowel signs stand wrong in documents."""
+    x = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(T.misplaced_matra_places(F.col("text"))).alias("p"))
+    return x.select("doc_id", F.col("p.pos").cast("bigint").alias("pos"), F.md5("p.near").alias("near"))
+
+
+def marker_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Words of questions that tell their language: of romanized Hindi, of both, of English."""
+    c = T.classify_language(F.col("question"))
+    return items(spark, d).select("id", c["hindi_hits"].alias("hindi"), c["ambiguous_hits"].alias("ambiguous"), c["english_hits"].alias("english"), T.is_code_mixed(F.col("question")).alias("code_mixed"))
 
 
 def lexical_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +87,7 @@ def bm25_amount_tokens(spark: SparkSession, d: str) -> DataFrame:
     return LexicalIndex(passages(spark, d), extra_tokens=amount_tokens).bm25(questions(spark, d), extra_tokens=amount_tokens)
 
 
-QUERIES = [normalize_text, canonical_amounts, split_sentences, script_of, langid_classify, tokenize_terms, normalize_answer, integrity_validate, lexical_postings, term_df, bm25_topk, tfidf_topk, bm25_amount_tokens]
+QUERIES = [normalize_text, canonical_amounts, split_sentences, script_of, langid_classify, tokenize_terms, normalize_answer, integrity_validate, integrity_other, misplaced_matras, marker_hits, lexical_postings, term_df, bm25_topk, tfidf_topk, bm25_amount_tokens]
 
 
 def _index(tokens_of) -> str:
@@ -119,6 +129,10 @@ y AS (SELECT passage_id, CAST({S.count('t', f'[{S.SPACE}]')} AS BIGINT) n_chars,
 SELECT passage_id, n_chars, ratio, matra_rate, virama_rate, stopword_rate, array_to_string(list_filter([CASE WHEN n_chars < 40 THEN 'too_short' END, CASE WHEN replaced > 0 THEN 'replacement_chars' END,
   CASE WHEN ratio < 0.45 THEN 'low_devanagari_ratio' END, CASE WHEN matra_rate > 0.005 THEN 'misplaced_matras' END, CASE WHEN virama_rate > 0.02 THEN 'dangling_viramas' END,
   CASE WHEN stopword_rate < 0.05 AND words >= 20 THEN 'low_stopword_rate' END], lambda f: f IS NOT NULL), '|') AS failures FROM y""",
+    "integrity_other": f"""SELECT passage_id, n_chars, array_to_string(list_filter([CASE WHEN n_chars < 40 THEN 'too_short' END, CASE WHEN contains(t, chr(65533)) THEN 'replacement_chars' END], lambda f: f IS NOT NULL), '|') AS failures FROM (SELECT passage_id, t, CAST({S.count('t', f'[{S.SPACE}]')} AS BIGINT) n_chars FROM (SELECT passage_id, {_T} t FROM {PASSAGES} WHERE lang <> 'hi'))""",
+    "misplaced_matras": """SELECT doc_id, i - 1 AS pos, md5(substr(text, greatest(i - 6, 1), i + 6 - greatest(i - 6, 1) + 1)) AS near FROM (SELECT doc_id, text, unnest(generate_series(1, length(text))) i FROM documents WHERE regexp_matches(text, '[\\x{093A}-\\x{094C}]')) WHERE regexp_matches(substr(text, i, 1), '[\\x{093A}-\\x{094C}]') AND NOT (i > 1 AND regexp_matches(substr(text, i - 1, 1), '[\\x{0915}-\\x{0939}\\x{0958}-\\x{095F}\\x{093A}-\\x{094C}]'))""",
+    "marker_hits": f"""SELECT id, len(list_filter(w, lambda x: list_contains({S.words(T.UNAMBIGUOUS_MARKERS)}, x))) AS hindi, len(list_filter(w, lambda x: list_contains({S.words(T.AMBIGUOUS_MARKERS)}, x))) AS ambiguous, len(list_filter(w, lambda x: list_contains({S.words(T.ENGLISH_MARKERS)}, x))) AS english, k IN ('mixed', 'roman') AS code_mixed
+FROM (SELECT id, {S.language_kind('question')} k, list_transform(regexp_extract_all({S.strip("coalesce(question, '')")}, {S.q(f'[a-zA-Z{S.DEVA}]+')}), lambda w: lower(w)) w FROM {ITEMS})""",
     "lexical_postings": f"WITH {_index(S.tokenize)} SELECT pid, term, tf, CAST(len AS BIGINT) AS len FROM terms",
     "term_df": f"WITH {_index(S.tokenize)} SELECT term, df FROM dfs",
     "bm25_topk": _bm25(S.tokenize),

@@ -260,3 +260,19 @@ def test_sources(spark, tmp_path):
     assert reports.read_json_documents(spark, str(tmp_path / "none"), "n int").count() == 0
     one = reports.content_hash(docs, ["scheme", "lang"])
     assert reports.content_hash(docs.repartition(7), ["scheme", "lang"]) == one != reports.content_hash(docs.limit(3), ["scheme", "lang"])
+
+
+def test_entailments_are_scored_once(spark, tmp_path):
+    class Words:
+        name = "words"
+
+        def score(self, pairs):
+            with open(tmp_path / "scored", "a") as f:
+                f.write("x" * len(pairs))
+            return [(float(h in p), 0.5, 0.0) for p, h in pairs]
+
+    x = spark.createDataFrame([(1, "the boat is red", "red"), (2, "the boat is red", "blue"), (3, "the boat is red", "red"), (4, None, "red")], "n int, premise string, hypothesis string")
+    cache = replies.ReplyCache(str(tmp_path / "nli"))
+    for _ in range(2):
+        assert [(r["n"], r["label"]) for r in replies.entailments(x, cache, Words()).orderBy("n").collect()] == [(1, "entailment"), (2, "neutral"), (3, "entailment"), (4, "neutral")]
+    assert (tmp_path / "scored").read_text() == "xxx"
