@@ -167,10 +167,11 @@ class SplitOverlap:
     is so much rarer that ``ratio`` times its count is at most the other's plus one, whatever the size of the corpus. Numbers are
     never slips, nor are words of fewer than ``min_length`` letters.
 
-    Candidates have a hash in common: of the bag of words in which each slip is replaced by its most frequent right word, or of
-    that bag with one word left out and one of its one-character deletions put in, for each place whose word has slips with
-    another replacement. So any number of words may have slips of the usual kind, and one a slip of any kind. All further work is on variants: copies count
-    once, and are written out as pairs of records at the very end, hot variants in ``salts`` parts. The orders in which the same words stand are few.
+    Words are compared with all words by their one-character deletions. Candidates have a hash in common: of the bag of words in which
+    each slip is replaced by its most frequent right word, or of that bag with one word, in each place in turn, as it stands or replaced by
+    another of its right words. So any number of words may have slips whose likeliest correction is right, and one any slip. All
+    further work is on variants: copies count once, and are written out as pairs of records at the very end, hot variants in ``salts`` parts. The
+    orders in which the same words stand are few.
     """
 
     def __init__(self, *, ratio: float = 4.0, min_length: int = 3, salts: int = 64):
@@ -189,25 +190,20 @@ class SplitOverlap:
         return rows.mapInArrow(tokens, f"id {kinds['id']}, split string, source {kinds['source']}, v string, tokens array<string>").where("v is not null")
 
     def vocabulary(self, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(words, counts): ``w, right, deletions`` of words with slips, and ``w, n`` of all words long enough."""
+        """(slips, words): ``w, rights``, the words that w may be a slip of, the most frequent first, and ``w, n`` of all words long enough."""
         words = variants.select(F.explode(F.array_distinct("tokens")).alias("w")).where((F.length("w") >= self.min_length) & ~F.col("w").rlike(r"^\d")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
         words = cut(words)
         less = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, F.length("w"))))
         near = words.select("w", "n", F.explode(F.array_distinct(F.concat(F.array("w"), less))).alias("d"))
-        both = near.join(near.select(F.col("w").alias("v"), F.col("n").alias("m"), "d"), "d").where((F.col("w") != F.col("v")) & (F.greatest("n", "m") + 1 >= self.ratio * F.least("n", "m")))
+        both = near.join(near.select(F.col("w").alias("v"), F.col("n").alias("m"), "d"), "d").where((F.col("m") > F.col("n")) & (F.col("m") + 1 >= self.ratio * F.col("n"))).select("w", "v", "m").distinct()
 
         def slips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep = [one_slip(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
-                yield b.filter(pa.array(keep, pa.bool_()))
+                yield b.filter(pa.array([one_slip(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
 
-        pairs = cut(both.select("w", "n", "v", "m", "d").mapInArrow(slips, "w string, n long, v string, m long, d string"))
-        # The right word of a slip: the most frequent of its neighbours, the first by spelling among equals.
-        right = pairs.where("m > n").groupBy("w").agg(F.min(F.struct(-F.col("m"), "v")).getField("v").alias("right"))
-        of_w, of_v = right.select("w", F.col("right").alias("rw")), right.select(F.col("w").alias("v"), F.col("right").alias("rv"))
-        odd = pairs.join(of_w, "w", "left").join(of_v, "v", "left").where(F.coalesce("rw", "w") != F.coalesce("rv", "v"))
-        deletions = odd.groupBy("w").agg(F.collect_set("d").alias("deletions"))
-        return right.join(deletions, "w", "full_outer").select("w", F.coalesce("right", "w").alias("right"), F.coalesce("deletions", F.array().cast("array<string>")).alias("deletions")), words
+        pairs = both.mapInArrow(slips, "w string, v string, m long")
+        listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("o"), "v"))), lambda x: x["v"])
+        return pairs.groupBy("w").agg(listed.alias("rights")), words
 
     def links(self, variants: DataFrame) -> DataFrame:
         """``train_v, eval_v`` of different near variants of ``variants`` (v, tokens, in_train, in_eval)."""
@@ -215,45 +211,41 @@ class SplitOverlap:
         total = variants.count()
         single = variants.select("v", F.explode(F.array_distinct("tokens")).alias("w"))
         # A word that a thousandth of all records have is hot; there are at most 1000 times the words of a record.
-        hit = lookup(single, slips.join(words, "w"), "w", words.where(F.col("n") * 1000 > total).select("w"))
-        hit = hit.groupBy("v").agg(F.collect_list(F.struct("w", "right", "deletions", "n")).alias("slips"))
+        hit = lookup(single, cut(slips), "w", words.where(F.col("n") * 1000 > total).select("w"))
+        hit = hit.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("w", "rights"))).alias("slips"))
         known = cut(variants.join(hit, "v", "left"))
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows: list[tuple] = []
                 for v, tokens, slipped in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    of = {s["w"]: s for s in slipped or []}
-                    mended = [of[w]["right"] if w in of else w for w in tokens]
+                    of = dict(slipped or ())
+                    mended = [of[w][0] if w in of else w for w in tokens]
                     rows.append((v, bag_key(kept_tokens(mended)), None, None))
                     for i, w in enumerate(tokens):
-                        for d in of[w]["deletions"] if w in of and w not in _SMALL else ():
-                            rest = [x for x in mended[:i] + mended[i + 1 :] if x not in _SMALL]
-                            rows.append((v, bag_key([*rest, "\0" + d]), w, of[w]["n"]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], ["v", "key", "w", "n"])
-
-        keyed = cut(known.select("v", "tokens", "slips").mapInArrow(keys, "v string, key long, w string, n long").join(variants.select("v", "in_train", "in_eval"), "v").distinct())
-        train = keyed.where("in_train").select("key", F.col("v").alias("train_v"), F.col("w").alias("tw"), F.col("n").alias("tn"))
-        rest = keyed.where("in_eval").select("key", F.col("v").alias("eval_v"), F.col("w").alias("ew"), F.col("n").alias("en"))
-        both = train.join(rest, "key").where("train_v <> eval_v")
-        both = both.where(F.col("tw").eqNullSafe(F.col("ew")) | (F.greatest("tn", "en") + 1 >= self.ratio * F.least("tn", "en")))
-        both = both.select("train_v", "eval_v", "tw", "ew").distinct()
-        side = known.select("v", "tokens", F.map_from_entries(F.transform(F.coalesce("slips", F.array()), lambda s: F.struct(s["w"], s["right"]))).alias("right"))
-        a, b = (side.select(F.col("v").alias(f"{x}_v"), F.col("tokens").alias(f"{x}_tokens"), F.col("right").alias(f"{x}_right")) for x in ("train", "eval"))
+                        for r in (w, *of[w][1:]) if w in of else ():
+                            rows.append((v, bag_key(kept_tokens([*mended[:i], r, *mended[i + 1 :]])), w, r))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["v", "key", "w", "r"])
+
+        keyed = cut(known.select("v", "tokens", "slips").mapInArrow(keys, "v string, key long, w string, r string").join(variants.select("v", "in_train", "in_eval"), "v"))
+        train = keyed.where("in_train").select("key", F.col("v").alias("train_v"), F.col("w").alias("tw"), F.col("r").alias("tr"))
+        rest = keyed.where("in_eval").select("key", F.col("v").alias("eval_v"), F.col("w").alias("ew"), F.col("r").alias("er"))
+        both = train.join(rest, "key").where("train_v <> eval_v").select("train_v", "eval_v", "tw", "tr", "ew", "er").distinct()
+        side = known.select("v", "tokens", "slips")
+        a, b = (side.select(F.col("v").alias(f"{x}_v"), F.col("tokens").alias(f"{x}_tokens"), F.col("slips").alias(f"{x}_slips")) for x in ("train", "eval"))
 
         def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = []
                 for r in batch.to_pylist():
                     seen = []
-                    for x, w in (("train", r["tw"]), ("eval", r["ew"])):
-                        right = dict(r[f"{x}_right"] or ())
-                        seen.append(["\0" if t == w else right.get(t, t) for t in r[f"{x}_tokens"]])
-                    slip = r["tw"] == r["ew"] or one_slip(r["tw"] or "", r["ew"] or "")
-                    keep.append(slip and sorted(kept_tokens(seen[0])) == sorted(kept_tokens(seen[1])) and same_clauses(*seen))
+                    for x, w, to in (("train", r["tw"], r["tr"]), ("eval", r["ew"], r["er"])):
+                        of = dict(r[f"{x}_slips"] or ())
+                        seen.append([to if t == w else of[t][0] if t in of else t for t in r[f"{x}_tokens"]])
+                    keep.append(sorted(kept_tokens(seen[0])) == sorted(kept_tokens(seen[1])) and same_clauses(*seen))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        wide = both.join(a, "train_v").join(b, "eval_v").select("train_v", "eval_v", "tw", "ew", "train_tokens", "eval_tokens", "train_right", "eval_right")
+        wide = both.join(a, "train_v").join(b, "eval_v").select("train_v", "eval_v", "tw", "tr", "ew", "er", "train_tokens", "eval_tokens", "train_slips", "eval_slips")
         return wide.mapInArrow(agree, "train_v string, eval_v string").distinct()
 
     def classes(self, records: DataFrame) -> tuple[DataFrame, DataFrame]:
