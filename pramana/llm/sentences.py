@@ -276,15 +276,15 @@ class HiddenEventModel:
             c0, c1 = d0 / z, d1 / z
         return post, total
 
-    def boundaries(self, found: list[Gap]) -> list[tuple[Gap, float]]:
-        """Each gap's posterior of an event.
+    def boundaries(self, found: list[Gap], closed: bool = False) -> list[tuple[Gap, float]]:
+        """Each gap's posterior of an event. closed: the block ends with a mark.
 
         Gaps at marks are one chain. The gaps of a stretch between marks are another, whose posterior is that of the stretch being written
         without marks at all times that of an event if it is: the more the words look like several sentences, the surer is the former.
         """
         marked = [g for g in found if g.mark]
         out = list(zip(marked, self._chain(marked)[0])) if marked else []
-        prior = self.bare[bool(marked)]
+        prior = self.bare[closed or bool(marked)]
         stretch: list[Gap] = []
         for g in [*found, None]:
             if g is not None and not g.mark:
@@ -307,7 +307,7 @@ class HiddenEventModel:
                 continue
             out.append(start)
             if not bullet:
-                out += [g.at for g, p in self.boundaries(gaps(text, start, end, unmarked=True)) if p > 0.5]
+                out += [g.at for g, p in self.boundaries(gaps(text, start, end, unmarked=True), _FINAL.search(text, start, end) is not None) if p > 0.5]
         return out
 
     def split(self, text: str | None) -> list[tuple[int, str]]:
