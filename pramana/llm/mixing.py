@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pramana.llm.encoding import DEFAULT_TOKENIZER, token_counts
+from pramana.operators.running import running_start
 from pramana.session import cut, frequent, lookup
 
 #: Points have so many bits: a slot's is that of its number times the golden ratio's fraction, without overflow and without repeats.
@@ -18,18 +18,6 @@ MAX_SENT = 100_000
 _BINS = 12
 
 
-def running_start(df: DataFrame, group: str, order: list[str], value: str, bucket: str, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows of the group before the row, by (bucket, order).
-
-    ``bucket`` is a column whose order agrees with ``order`` and of which none holds many rows: its sums are added up first,
-    then the rows within each bucket, so that no task sees a whole group.
-    """
-    sums = df.groupBy(group, bucket).agg(F.sum(value).alias("__sum"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    inner = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(before, [group, bucket]).withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("__before")
-
-
 def points(spark: SparkSession, slots: int, first: int = 0) -> DataFrame:
     """``i, u``: the point of each slot from ``first`` on, of BITS bits. Products of halves only, so that no number of slots overflows."""
     i, high, low = F.col("id"), _STEP // _HALF, _STEP % _HALF

@@ -375,3 +375,19 @@ def test_unpunctuated_text_is_divided_by_the_words(spark):
     assert model.starts(texts[0]) == [0] + [i + 2 for i, c in enumerate(texts[0][:-1]) if c == "."]
     long = 'He wrote "' + "the fee is due. " * 60 + '" and left. Then he came back.'
     assert len(model.starts(long)) == 2
+
+
+def test_slips_of_slips(spark):
+    """Two slips of one word, a slip that gives a small word, and one whose likeliest correction is another word."""
+    common = [(f"c{i}", t, None, "s") for i in range(9) for t in (f"rehne wale {i}", f"under tahat {i}", f"sent dene {i} dene", f"dene dene {i}0")]
+    pairs = [("rene wale boats", "rhene wale boats"), ("under that ferry", "under tahat ferry"), ("boat rene toll", "boat rehne toll")]
+    rows = [x for i, (a, b) in enumerate(pairs) for x in ((f"t{i}", a, "train", "s"), (f"e{i}", b, "test", "s"))]
+    x = spark.createDataFrame(common + rows + [("t9", "under dene river", "train", "s"), ("e9", "under rehne river", "test", "s")], "id string, text string, split string, source string")
+    assert {(r["train_id"], r["eval_id"]) for r in overlap.SplitOverlap().pairs(x).collect()} == {(f"t{i}", f"e{i}") for i in range(3)}
+
+
+def test_a_block_with_a_closing_mark_is_punctuated():
+    ends, right = {"hai": 0.9, "": 0.05}, {("kya", "lower"): 6.0}
+    model = sentences.HiddenEventModel({}, {}, right, {}, ends, 0.05)
+    text = "jis ghar ke paas naav hai kya use bhi dena hoga"
+    assert len(model.starts(text)) == 2 and len(model.starts(text + "?")) == 1
