@@ -391,3 +391,37 @@ def test_a_block_with_a_closing_mark_is_punctuated():
     model = sentences.HiddenEventModel({}, {}, right, {}, ends, 0.05)
     text = "jis ghar ke paas naav hai kya use bhi dena hoga"
     assert len(model.starts(text)) == 2 and len(model.starts(text + "?")) == 1
+
+
+def test_empty_tables_everywhere(spark):
+    none = spark.createDataFrame([], "passage_id string, text string")
+    model = sentences.train(none)
+    assert model.starts("Boats leave. They row.") and sentences.sentence_units(none, model).count() == 0
+    units = spark.createDataFrame([], "stem string, side int, passage_id string, start_pos int, unit string")
+    assert alignment.align(units).count() == 0
+    blank = spark.createDataFrame([("s", 0, "p", 0, "..."), ("s", 1, "q", 0, "!")], units.schema)
+    assert {r["kind"] for r in alignment.align(blank).collect()} == {"omission"}
+    labelled = spark.createDataFrame([], "text string, lang string")
+    filters = language.fit_filters(labelled, bits=12)
+    assert filters.detect(["boat", "नाव", None, ""])[2] == (None, 0.0)
+    asked = spark.createDataFrame([], "id string, answer_field string, question string, answer string, lang string")
+    assert pairs.PairChecker(filters).check(asked).count() == 0
+    one = spark.createDataFrame([("i", "answer_gold", None, None, None), ("j", "answer_gold", None, "Yes", None)], asked.schema)
+    assert [(r["id"], r["defect"]) for r in pairs.PairChecker(filters).check(one).collect()] == [("i", "empty")]
+    votes = spark.createDataFrame([], "id string, annotator string, label int")
+    items, annotators = consensus.MinimaxConsensus().fit(votes)
+    assert items.count() == 0 and annotators.count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([], "source string, target_share double, max_repeats int")
+    assert mixing.SourceMixer().schedule(docs, targets).count() == 0
+    assert overlap.SplitOverlap().report(spark.createDataFrame([(None, None, "train", None)], "id string, text string, split string, source string")).count() == 0
+
+
+def test_consensus_with_many_annotators_agrees(spark):
+    """The joined plan, with one annotator of a third of all votes, gives the labels of the collected one."""
+    rng = random.Random(5)
+    votes = [(f"i{i}", a, int((i % 2) ^ (rng.random() < err))) for i in range(120) for a, err in (("hot", 0.1), (f"a{i % 7}", 0.2), (f"b{i % 5}", 0.3))]
+    x = spark.createDataFrame(votes, "id string, annotator string, label int")
+    few = {r["id"]: r["label"] for r in consensus.MinimaxConsensus(passes=3).fit(x)[0].collect()}
+    many = {r["id"]: r["label"] for r in consensus.MinimaxConsensus(passes=3, max_driver_annotators=2).fit(x)[0].collect()}
+    assert few == many
