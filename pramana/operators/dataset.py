@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from pramana.functions import text as T
 from pramana.operators.corpus import jaccard
+from pramana.operators.running import running_start
 from pramana.operators.topk import hash_order
 
 SEED = 20260922
@@ -23,13 +24,16 @@ ENTITY = r"(^|[^\p{L}\p{N}_])([A-Z]{2,}|Yojana|Abhiyan|Mission|Scheme|अभि
 ALIKE_SECTIONS = ["eligibility", "benefits", "features", "पात्रता", "लाभ"]
 
 
-def _numbered(df: DataFrame, group: list[str], key: str, seed: int, *first: Column) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy(*first, hash_order(F.col(key), seed), key)))
+def _numbered(df: DataFrame, group: list[str], key: str, seed: int) -> DataFrame:
+    """``df`` with ``rn``: each row's place, from 1, in the random order of its group; a group is numbered in 1024 parts, so that no task sorts all of it."""
+    x = df.withColumns({"__g": F.to_json(F.struct(*group), {"ignoreNullFields": "false"}), "__h": hash_order(F.col(key), seed), "__one": F.lit(1)}).withColumn("__part", F.shiftright("__h", 50))
+    return running_start(x, "__g", ["__h", key], "__one", "__part", "__place").withColumn("rn", F.col("__place") + 1).drop("__g", "__h", "__one", "__part", "__place")
 
 
 def round_robin(df: DataFrame, group: str, key: str, n: int, *, seed: int = SEED, first: Column | None = None) -> DataFrame:
-    """``n`` rows taken from the groups in turns, each group's by ``first``, then at random."""
-    x = _numbered(df, [group], key, seed, *([] if first is None else [first]))
+    """``n`` rows taken from the groups in turns, each group's by ``first``, then at random; each task keeps n rows of a group."""
+    order = [*([] if first is None else [first]), hash_order(F.col(key), seed), key]
+    x = df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rn") <= n)
     return x.orderBy("rn", hash_order(F.col(group), seed), group).limit(n).drop("rn")
 
 
@@ -51,8 +55,9 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, size: int, *, s
 
 def sample_by_class(df: DataFrame, group: str, key: str, fraction: float, *, seed: int = SEED) -> DataFrame:
     """At least one row of each class and about ``fraction`` of it, rounded half to even."""
-    x = _numbered(df, [group], key, seed).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    return x.where(F.col("rn") <= F.greatest(F.lit(1), F.bround(F.round(F.col("n") * fraction, 9), 0))).drop("rn", "n")
+    sizes = df.groupBy(F.col(group).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    x = _numbered(df, [group], key, seed).join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("__c")))
+    return x.where(F.col("rn") <= F.greatest(F.lit(1), F.bround(F.round(F.col("__n") * fraction, 9), 0))).drop("rn", "__n", "__c")
 
 
 def shared_out(df: DataFrame, group: str, key: str, n: int, *, seed: int = SEED) -> DataFrame:
@@ -100,12 +105,18 @@ def error_categories(items: DataFrame, gold: DataFrame, sizes: DataFrame) -> Dat
     return x.withColumn("tags", tags).select("id", F.explode(F.when(F.size("tags") == 0, F.array(F.lit("ambiguity"))).otherwise(F.col("tags"))).alias("category"))
 
 
-def merge_dedupe_renumber(sources: DataFrame, keys: Column, cell: list[str]) -> DataFrame:
-    """``sources`` (id, source_rank, ...) without items whose ``keys`` an earlier source, or an earlier id, has; with ``new_id``, numbered within the cell."""
-    first = Window.partitionBy("merge_key").orderBy("source_rank", "id")
-    kept = sources.withColumn("merge_key", keys).withColumn("r", F.row_number().over(first)).where("r = 1")
-    number = F.row_number().over(Window.partitionBy(*cell).orderBy("source_rank", "id")) - 1
-    return kept.withColumn("new_id", F.concat_ws("-", *[F.coalesce(F.col(c), F.lit("none")) for c in cell], F.format_string("%03d", number))).drop("merge_key", "r")
+def merge_dedupe_renumber(sources: DataFrame, keys: Column, cell: list[str], *, prefix: int = 8) -> DataFrame:
+    """``sources`` (id, source_rank, ...) without items whose ``keys`` an earlier source, or an earlier id, has; with ``new_id``, numbered within the cell.
+
+    Of each key the first is kept by partial minima. A cell is numbered in parts by source and the first ``prefix`` characters of the id.
+    """
+    x = sources.withColumn("merge_key", keys)
+    first = x.groupBy(F.col("merge_key").alias("__k")).agg(F.min(F.struct("source_rank", "id")).alias("__first"))
+    kept = x.join(first, F.col("merge_key").eqNullSafe(F.col("__k"))).where("source_rank = __first.source_rank and id = __first.id")
+    named = F.concat_ws("-", *[F.coalesce(F.col(c), F.lit("none")) for c in cell])
+    kept = kept.withColumns({"__cell": named, "__one": F.lit(1), "__part": F.concat(F.format_string("%09d|", "source_rank"), F.substring("id", 1, prefix))})
+    numbered = running_start(kept, "__cell", ["source_rank", "id"], "__one", "__part", "__place")
+    return numbered.withColumn("new_id", F.concat_ws("-", "__cell", F.format_string("%03d", "__place"))).drop("merge_key", "__k", "__first", "__cell", "__one", "__part", "__place")
 
 
 def coverage(items: DataFrame) -> DataFrame:

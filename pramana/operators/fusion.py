@@ -68,3 +68,12 @@ def script_aware(lexical: DataFrame, dense: DataFrame, passage_scripts: DataFram
     vote = lambda r: F.coalesce(1.0 / (rrf_k + F.col(r)), F.lit(0.0))
     score = (vote("lex_rank") + vote("dense_rank")) * 2 / F.when(could, 2).otherwise(1)
     return _ranked(both.withColumn("score", F.round(score, 9)), k)
+
+
+def explained(lexical: DataFrame, dense: DataFrame, passage_scripts: DataFrame, query_scripts: DataFrame, *, k: int = 10, rrf_k: int = RRF_K) -> DataFrame:
+    """The ranking of ``script_aware`` with what it is made of: ``lexical_rank, dense_rank, lexical_vote, dense_vote, lists``, the number of lists that could have found the passage."""
+    top = script_aware(lexical, dense, passage_scripts, query_scripts, k=k, rrf_k=rrf_k)
+    x = top.join(_both(lexical, dense), ["qid", "pid"]).join(passage_scripts.select("pid", F.col("script").alias("p")), "pid", "left").join(query_scripts.select("qid", F.col("script").alias("q")), "qid", "left")
+    q, p = F.coalesce("q", F.lit("unknown")), F.coalesce("p", F.lit("unknown"))
+    vote = lambda r: F.round(F.coalesce(1.0 / (rrf_k + F.col(r)), F.lit(0.0)), 9)
+    return x.select("qid", "pid", "rank", "score", F.coalesce("lex_rank", F.lit(0)).alias("lexical_rank"), F.coalesce("dense_rank", F.lit(0)).alias("dense_rank"), vote("lex_rank").alias("lexical_vote"), vote("dense_rank").alias("dense_vote"), F.when(q.isin("mixed", "unknown") | (p == q), 2).otherwise(1).cast("bigint").alias("lists"))

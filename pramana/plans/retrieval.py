@@ -72,6 +72,11 @@ def fuse_rrf_observed_votes(spark: SparkSession, d: str) -> DataFrame:
     return fusion.script_aware(_list(spark, d, "bm25"), _list(spark, d, "dense"), *_scripts(spark, d), count_observed_votes=True)
 
 
+def fusion_example(spark: SparkSession, d: str) -> DataFrame:
+    """The script-aware ranking with each list's part in it."""
+    return fusion.explained(_list(spark, d, "bm25"), _list(spark, d, "dense"), *_scripts(spark, d))
+
+
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).where("answerable").select(F.col("id").alias("qid"), F.col("gold_passage_ids").alias("gold"))
 
@@ -122,7 +127,7 @@ def observed_vote_fires(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("q").agg(F.count(F.lit(1)).alias("hits"), F.count_if(across).alias("fires")).withColumnRenamed("q", "script")
 
 
-QUERIES = [dense_topk, l2_normalize, hash_encode, masked_mean_pool, corpus_fingerprint, fuse_rrf, fuse_rrf_many, fuse_weighted_minmax, fuse_weighted_zscore, fuse_rrf_script_aware, fuse_rrf_observed_votes, retrieval_outcomes, retrieval_by_slice, alpha_sweep, bootstrap_ci, paired_randomization, score_skew, observed_vote_fires]
+QUERIES = [dense_topk, l2_normalize, hash_encode, masked_mean_pool, corpus_fingerprint, fuse_rrf, fuse_rrf_many, fuse_weighted_minmax, fuse_weighted_zscore, fuse_rrf_script_aware, fuse_rrf_observed_votes, fusion_example, retrieval_outcomes, retrieval_by_slice, alpha_sweep, bootstrap_ci, paired_randomization, score_skew, observed_vote_fires]
 
 _R = f"r AS (SELECT query_id qid, passage_id pid, method_name m, score, rank FROM {RANKED})"
 
@@ -201,6 +206,8 @@ SELECT sha256(s0 || '|' || s1 || '|' || s2 || '|' || s3 || '|' || n) AS fingerpr
     "fuse_weighted_zscore": _weighted("zscore"),
     "fuse_rrf_script_aware": _aware(False),
     "fuse_rrf_observed_votes": _aware(True),
+    "fusion_example": f"""WITH {_R}, s AS (SELECT x.*, CASE WHEN coalesce(q, 'unknown') IN ('mixed', 'unknown') OR coalesce(p, 'unknown') = coalesce(q, 'unknown') THEN 2 ELSE 1 END lists, round({_VOTES} * 2 / (CASE WHEN coalesce(q, 'unknown') IN ('mixed', 'unknown') OR coalesce(p, 'unknown') = coalesce(q, 'unknown') THEN 2 ELSE 1 END), 9) score FROM {_PAIR} x LEFT JOIN {_PS} USING (pid) LEFT JOIN {_QS} USING (qid))
+SELECT qid, pid, rank, score, coalesce(lr, 0) AS lexical_rank, coalesce(er, 0) AS dense_rank, round(coalesce(1.0 / (60 + lr), 0.0), 9) AS lexical_vote, round(coalesce(1.0 / (60 + er), 0.0), 9) AS dense_vote, CAST(lists AS BIGINT) AS lists FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, lr NULLS LAST, er NULLS LAST, pid) rank FROM s) WHERE rank <= 10""",
     "retrieval_outcomes": f"SELECT * FROM {_outcomes()}",
     "retrieval_by_slice": f"""WITH x AS (SELECT system, o.recall_5, o.rr, o.ndcg_10,
   (CASE query_lang WHEN 'en' THEN 'EN' WHEN 'hi' THEN 'HI' WHEN 'hinglish' THEN 'Hing' ELSE '?' END) || '->' || CASE WHEN answerable THEN upper(coalesce(passage_lang, '')) ELSE 'UNANS' END slice_key,

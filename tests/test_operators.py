@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pramana.operators import answerability, answers, corpus, dataset, dense, fusion, metrics, serving
 from pramana.operators.lexical import LexicalIndex
-from pramana.session import cut
+from pramana.session import cut, frequent, lookup
 from pramana.sources.jsonl import malformed, parse_lines, read_jsonl, write_jsonl
 from pramana.streaming.limiter import rate_limit_stream
 
@@ -293,3 +293,20 @@ def test_resampling(spark):
     a, b = (spark.createDataFrame([(f"q{i}", float(v(i))) for i in range(60)], "qid string, value double") for v in (lambda i: 1, lambda i: i % 2))
     assert metrics.paired_randomization(a, b).first()["p_value"] == round(1 / 10001, 6)
     assert metrics.paired_randomization(a, a).first()["p_value"] == 1.0
+
+
+def test_lookup_with_hot_keys(spark):
+    left = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k")).unionByName(spark.createDataFrame([(9999, None)], "id long, k string"))
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("none", 3)], "k string, v int")
+    hot = frequent(left, "k", 10)
+    assert [r["k"] for r in hot.collect()] == ["hot"]
+    assert sorted(lookup(left, right, "k", hot).select("id", "v").collect()) == sorted(left.join(right, "k").select("id", "v").collect())
+    outer = lookup(left, right, "k", hot, "left")
+    assert outer.count() == left.count() and outer.where("v = 1").count() == left.where("k = 'hot'").count()
+    assert frequent(left.limit(0), "k", 10).count() == 0
+
+
+def test_places_in_random_order(spark):
+    x = spark.createDataFrame([(f"i{n:04d}", None if n % 5 == 0 else "ab"[n % 2]) for n in range(500)], "id string, g string")
+    got = dataset._numbered(x, ["g"], "id", 1)
+    assert {(r["g"], r["n"], r["m"], r["d"]) for r in got.groupBy("g").agg(F.count("*").alias("n"), F.max("rn").alias("m"), F.countDistinct("rn").alias("d")).collect()} == {(None, 100, 100, 100), ("a", 200, 200, 200), ("b", 200, 200, 200)}
