@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pramana.llm.overlap import fold
+from pramana.llm.overlap import fold, remembered
 from pramana.session import cut
 
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -27,7 +26,7 @@ _LATIN = [("ksh", "ks"), ("sh", "s"), ("chh", "c"), ("ch", "c"), ("ph", "f"), ("
 _SOFT, _TWICE = regex.compile("[aeiouywvh]"), regex.compile(r"(.)\1+")
 
 
-@lru_cache(maxsize=100_000)
+@remembered
 def skeleton(word: str) -> str:
     """The consonants a word sounds with, alike in Latin and Devanagari spelling; vowels, glides and breath are left out."""
     w = word

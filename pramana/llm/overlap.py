@@ -6,6 +6,7 @@ import hashlib
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 import regex
@@ -38,6 +39,17 @@ _DROP = regex.compile(r"[\p{Cf}̀-़়ͯ]")
 _OTHER_DIGIT = regex.compile(r"(?![0-9])\p{Nd}")
 
 
+def remembered(f):
+    """``f`` of a word, remembered for 200,000 words; long ones are not kept, so that memory has a bound."""
+    known = lru_cache(maxsize=200_000)(f)
+
+    @wraps(f)
+    def of(word: str, *more):
+        return known(word, *more) if len(word) <= 64 else f(word, *more)
+
+    return of
+
+
 def fold(text: str) -> str:
     """Case, compatibility forms, accents, nuktas, zero-width characters and the script of digits folded away."""
     if text.isascii():

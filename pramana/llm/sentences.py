@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pramana.llm.overlap import fold
+from pramana.llm.overlap import fold, remembered
 from pramana.session import cut
 
 BULLET = regex.compile(r"[ \t ]*[-*•–—▪◦‣·●○■□]+[ \t ]+")
@@ -70,7 +69,7 @@ class Gap:
         self.at, self.left, self.mark, self.right, self.shape, self.units = at, left, mark, right, shape, units
 
 
-@lru_cache(maxsize=200_000)
+@remembered
 def _left_word(w: str) -> str:
     if not w[-1].isdigit():  # a missing space joins sentences
         w = w.rpartition(".")[2] or w
@@ -87,7 +86,7 @@ def _left(block: str, end: int) -> str:
     return _left_word(m[0]) if m else "<none>"
 
 
-@lru_cache(maxsize=200_000)
+@remembered
 def _right_word(w: str, quoted: bool, stop: bool) -> tuple[str, str]:
     if w[0].isdigit():
         return "<num>", "num"
@@ -170,7 +169,7 @@ def gaps(text: str, start: int, end: int, unmarked: bool = False) -> list[Gap]:
     return out
 
 
-@lru_cache(maxsize=200_000)
+@remembered
 def _token(t: str) -> tuple[bool, bool, str, str, str] | None:
     """Of a run of characters without white space: (may a sentence begin with it, and one end with it, its left side, right side and shape); None without letters and digits."""
     if not _SAYS.search(t):
