@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +319,51 @@ def test_tails_do_not_switch_with_the_count(spark):
     assert abs(z(99) - z(100)) < 0.2
 
 
+def test_quantile_sketches_have_a_bound_and_merge():
+    rng = np.random.default_rng(7)
+    x = np.exp(rng.normal(4, 3, 300_000))
+    whole, halves, again = (quality.Kll(s) for s in ("whole", "halves", "whole"))
+    for part in np.array_split(x, 60):
+        whole.add(part)
+        again.add(part)
+    for i in (0, 1):
+        half = quality.Kll(f"half {i}")
+        for part in np.array_split(x[i::2], 7):
+            half.add(part)
+        for level, items in enumerate(half.levels):
+            halves.add(items, level)
+    assert all((a == b).all() for a, b in zip(whole.levels, again.levels, strict=True))
+    ranks = np.sort(x)
+    for sketch in (whole, halves):
+        assert sum(len(v) << i for i, v in enumerate(sketch.levels)) == len(x) and sum(map(len, sketch.levels)) < 3 * 2048 + 100
+        weighted = [(v, np.full(len(v), 2.0**i)) for i, v in enumerate(sketch.levels)]
+        for q in (0.01, 0.05, 0.3, 0.5, 0.7, 0.95, 0.99):
+            assert abs(np.searchsorted(ranks, quality._quantiles(weighted, (q,))[0]) / len(x) - q) < 0.004
+
+
+def test_sketches_of_all_statistics(spark):
+    def table(first, n):
+        size = [F.col("i").cast("double").alias("n_words"), (F.col("i") % 9 / 10_000).alias("symbol_ratio")]
+        zeros = [F.lit(0.0).alias(s) for s in quality.STATISTICS if s not in ("n_words", "symbol_ratio")]
+        return spark.range(first, first + n).withColumnRenamed("id", "i").select(F.when(F.col("i") % 4 == 0, "hi").otherwise("en").alias("lang"), *size, *zeros)
+
+    def quantiles(sketch, statistic):
+        own = [(np.array(r["items"]), np.full(len(r["items"]), 2.0 ** r["level"])) for r in sketch.where(f"lang = 'en' and statistic = '{statistic}'").collect()]
+        return sum(w.sum() for _, w in own), quality._quantiles(own, (0.1, 0.5, 0.9))
+
+    sketch = quality.sketches(table(1, 40_000))
+    assert {r["statistic"] for r in sketch.select("statistic").distinct().collect()} == set(quality.STATISTICS)
+    assert sketch.groupBy("lang", "statistic", "level").count().where("count > 1").count() == 0
+    both = quality.merged(quality.sketches(table(1, 15_000)).union(quality.sketches(table(15_001, 25_000))))
+    for s in (sketch, both):
+        n, found = quantiles(s, "n_words")
+        assert n == 30_000 and all(abs(v - q) < 200 for v, q in zip(found, (4000, 20_000, 36_000)))
+    # Values closer to each other than a bin of the unit range.
+    assert {round(r[1 + 2 * list(quality.TAILS).index("symbol_ratio")], 9) for r in quality.references(sketch)} == {0.0002}
+    small = table(1, 900)
+    assert rows(quality.sketches(small.repartition(3)).selectExpr("lang", "statistic", "level", "array_sort(items)"), "lang", "statistic") == rows(quality.sketches(small.coalesce(1)).selectExpr("lang", "statistic", "level", "array_sort(items)"), "lang", "statistic")
+
+
 def test_registry():
     names = set(registry.queries())
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 10)} | {"p8_ids", "p9_mix"} <= names and set(registry.oracle_sql()) <= names
