@@ -15,7 +15,7 @@ from pramana.plans.base import items
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["bm25_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_amount_tokens"])
 def test_every_question_is_asked(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no driver tables")
@@ -23,6 +23,13 @@ def test_every_question_is_asked(spark, name):
     assert {r["qid"] for r in registry.queries()[name](spark, DATA).select("qid").collect()} == asked
 
 
+def test_amount_ablation_counts_every_question(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("no driver tables")
+    gold = items(spark, DATA).where("answerable and size(gold_passage_ids) > 0").count()
+    assert {r["n"] for r in registry.queries()["amount_ablation"](spark, DATA).where("slice = 'all'").collect()} == {gold}
+
+
 def _plain(texts, questions, k):
     """BM25 of every pair."""
     docs = {p: t.split() for p, t in texts}
