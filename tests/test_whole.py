@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pramana.operators import lexical
+from pramana.operators import dense, lexical, pipeline
 from pramana.operators.lexical import LexicalIndex
 from pramana.operators.postings import B, K1
 from pramana.plans import registry
@@ -15,7 +15,7 @@ from pramana.plans.base import items
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "bm25_amount_tokens"])
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_amount_tokens", "retrieve_hybrid", "retrieve_weighted"])
 def test_every_question_is_asked(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no driver tables")
@@ -78,3 +78,22 @@ def test_null_ids_and_texts(spark):
     docs = spark.createDataFrame([("b", "wheat"), (None, "wheat"), ("c", None)], "passage_id string, text string")
     asked = spark.createDataFrame([("q", "wheat"), ("n", None)], "id string, question string")
     assert [(r["pid"], r["rank"]) for r in LexicalIndex(docs).bm25(asked).orderBy("rank").collect()] == [(None, 1), ("b", 2)]
+
+
+@pytest.mark.parametrize("method", ["hybrid", "hybrid-rrf", "hybrid-weighted"])
+def test_lists_made_in_tasks(spark, method):
+    """Both lists and their fusion in one pass are those made as tables, with ties, other scripts, and questions without words."""
+    rng = np.random.default_rng(9)
+    word = lambda: ["w", "क"][int(rng.integers(2))] + str(int(rng.zipf(1.5)) % 60)
+    rows = [(f"p{i:03}", None if i == 7 else " ".join(word() for _ in range(rng.integers(0, 12))), ["en", "hi"][i % 2]) for i in range(150)]
+    p = spark.createDataFrame([*rows, *[(f"r{i:03}", rows[i][1], rows[i][2]) for i in range(30)]], "passage_id string, text string, lang string")
+    asked = spark.createDataFrame([(f"q{i:02}", " ".join(word() for _ in range(rng.integers(1, 6)))) for i in range(40)] + [("none", "unheard"), ("null", None), ("blank", "")], "id string, question string")
+    encode = lambda q: dense.hash_vectors(q, pid="id", text="question").withColumnRenamed("pid", "qid")
+    found = []
+    for hashed in (True, False):
+        r = pipeline.Retrievers(LexicalIndex(p), dense.hash_vectors(p), encode, pipeline.passage_scripts(p), hashed=hashed)
+        x = pipeline.retrieve(asked, r, method=method, candidates=20)
+        assert ("Join" not in x._jdf.queryExecution().executedPlan().toString()) == hashed
+        found.append([tuple(t) for t in x.orderBy("qid", "rank").collect()])
+    assert [(a, b, d) for a, b, _, d in found[0]] == [(a, b, d) for a, b, _, d in found[1]]
+    assert np.allclose([t[2] for t in found[0]], [t[2] for t in found[1]], atol=1e-9)
