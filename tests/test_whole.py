@@ -15,7 +15,7 @@ from pramana.plans.base import items
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "bm25_amount_tokens", "retrieve_hybrid", "retrieve_weighted"])
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_amount_tokens", "retrieve_hybrid", "retrieve_weighted", "answer_query"])
 def test_every_question_is_asked(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no driver tables")
